@@ -1,0 +1,20 @@
+"""Schemas of the relations that operators exchange.
+
+NULL stands for every missing number; NaN never leaves an operator.  A pair
+that was never sampled together has no row in ``CONSENSUS``.
+"""
+
+FEATURES = "sample_id bigint, x array<double>"
+MEMBERSHIP = "resample int, split string, sample_id bigint"
+RUNS = "config_id int, resample int, split string, sample_id bigint, label int"
+PRED_RUNS = "config_id int, resample int, sample_id bigint, label_true int, label_pred int"
+CONSENSUS = "config_id int, i bigint, j bigint, n_cosample bigint, n_cocluster bigint, p float"
+SAMPLE_SCORES = "config_id int, sample_id bigint, gini double, ce double, accuracy double"
+ARI_METRICS = ("ari_stability", "ari_generalizability", "ari_average")
+RESULT_METRICS = (
+    *(f"{m}{suffix}" for m in ARI_METRICS for suffix in ("", "_se", "_upper", "_lower")),
+    "consensus_pac_stability",
+    "consensus_gini_stability",
+    "consensus_ce_stability",
+    "accuracy_generalizability",
+)

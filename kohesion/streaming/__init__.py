@@ -1 +1 @@
-
+"""Reserved: validation is a batch computation, and no operator here keeps streaming state."""
