@@ -26,7 +26,7 @@ def test_fit(fitted):
     rows = {r["config_id"]: r for r in fitted.fitted.results.collect()}
     assert len(rows) == 6 and fitted.get_k() == 3 and fitted.get_k("gini", "max") == 3
     best = rows[1]
-    assert best["ari_stability"] > 0.95 and best["ari_generalizability"] > 0.9 and best["consensus_pac_stability"] > 0.95
+    assert best["ari_stability"] > 0.9 and best["ari_generalizability"] > 0.9 and best["consensus_pac_stability"] > 0.95
     assert best["accuracy_generalizability"] > 0.3 and best["n_clusters"] == 3
     assert best["ari_average"] == pytest.approx((best["ari_stability"] + best["ari_generalizability"]) / 2)
     assert fitted.get_estimator() == ("kmeans", {"n_clusters": 3})
