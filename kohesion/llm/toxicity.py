@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from kohesion.llm import _text
 
-DECAY = 0.6
+DECAY = 0.9
 GAP = 2
 SLOT_BITS = 20
+#: Letters up to which a word's norm follows from its length.
+LONG = 40
 #: Labelled documents of each class that the machine is fitted on, at most about this many, and their characters.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2000, 0: 5000}
 LANDMARKS = 320
 ROUNDS = 4
 
@@ -80,10 +82,12 @@ def find_letters(texts: list[str]) -> Letters:
     after = np.zeros(len(found.starts), np.int64)
     after[1:] = _SENTENCE_END[found.array[found.ends[:-1] - 1]] | _SENTENCE_END[found.array[found.ends[:-1]]] | (found.doc[1:] != found.doc[:-1])
     sentence = np.cumsum(after)
-    # Words of one letter in a row are one word.
+    # Words of one letter in a row are one word, unless they repeat the letter.
     single = sizes == 1
     joined = np.zeros(len(sizes), bool)
-    joined[1:] = single[1:] & single[:-1] & (found.doc[1:] == found.doc[:-1])
+    if len(sizes):
+        letter = codes[np.minimum(np.cumsum(found.ends - found.starts) - (found.ends - found.starts), len(codes) - 1)]
+        joined[1:] = single[1:] & single[:-1] & (letter[1:] != letter[:-1]) & (found.doc[1:] == found.doc[:-1])
     first = ~joined
     unit = np.cumsum(first) - 1
     return Letters(codes[real], unit[owner[real]], np.bincount(unit, weights=sizes, minlength=first.sum()).astype(np.int64), sentence[first], found.doc[first], found.starts[first])
@@ -119,8 +123,24 @@ def word_scores(found: Letters, weights: np.ndarray) -> np.ndarray:
         n = len(fits)
         value = np.where(fits, weights[slot], 0.0)
         total += np.bincount(found.word[:n], weights=value, minlength=len(total)) * decay
-    sizes = np.minimum(found.sizes, 4096)
-    return total / _norm_table(int(sizes.max(initial=0)))[sizes]
+    norm = _norm_table(LONG)[np.minimum(found.sizes, LONG)]
+    if (found.sizes > LONG).any():
+        _norms_of_long(found, norm)
+    return total / norm
+
+
+def _norms_of_long(found: Letters, norm: np.ndarray) -> None:
+    """Sets the exact norm of words of over ``LONG`` letters, whose subsequences may repeat often."""
+    place = np.full(len(found.sizes), -1, np.int64)
+    long = np.flatnonzero(found.sizes > LONG)
+    place[long] = np.arange(len(long))
+    keys, values = [], []
+    for fits, slot, decay in subsequences(found):
+        at = np.flatnonzero(fits & (place[found.word[: len(fits)]] >= 0))
+        keys.append(place[found.word[at]] << SLOT_BITS | slot[at])
+        values.append(np.full(len(at), decay))
+    key, own = np.unique(np.concatenate(keys), return_inverse=True)
+    norm[long] = np.sqrt(np.bincount(key >> SLOT_BITS, weights=np.bincount(own, weights=np.concatenate(values)) ** 2, minlength=len(long)))
 
 
 @dataclass
@@ -169,28 +189,15 @@ def score(texts: list[str | None], model: ToxicityModel) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
-class Vocabulary:
-    """The distinct words of the sample with their subsequences, and which documents hold them."""
+class WordSet:
+    """Words as letter classes, with their subsequences."""
 
-    def __init__(self, texts: list[str]):
-        keys, docs, spans = [], [], []
-        for first, part in _text.chunks(texts):
-            found = find_letters(part)
-            begin = np.cumsum(found.sizes) - found.sizes
-            for doc, at, size in zip(found.doc.tolist(), begin.tolist(), found.sizes.tolist(), strict=True):
-                if size >= 3:
-                    keys.append(found.letter[at : at + min(size, 40)].tobytes())
-                    docs.append(first + doc)
-        index: dict[bytes, int] = {}
-        ids = np.fromiter((index.setdefault(k, len(index)) for k in keys), np.int64, len(keys))
-        pairs = np.unique(np.stack([np.array(docs, np.int64), ids]), axis=1) if keys else np.zeros((2, 0), np.int64)
-        self.doc, self.id = pairs
-        self.words = list(index)
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        letter = np.frombuffer(b"".join(self.words), np.uint8)
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         own = np.repeat(np.arange(len(sizes)), sizes)
-        self.letters = Letters(letter, own, sizes, own, own, own)
-        self.norm = _norm_table(40)[sizes]
+        self.letters = Letters(np.frombuffer(b"".join(words), np.uint8), own, sizes, own, own, own)
+        self.norm = _norm_table(LONG + 1)[sizes]
 
     def features(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row in ``chosen``, slot, weight) of the subsequences of some words, divided by the norm."""
@@ -206,6 +213,23 @@ class Vocabulary:
         return tuple(np.concatenate(x) if x else np.zeros(0) for x in (rows, slots, values))
 
 
+class Vocabulary(WordSet):
+    """The distinct words of the sample, and which documents (``doc``) hold which (``id``)."""
+
+    def __init__(self, texts: list[str]):
+        index: dict[bytes, int] = {}
+        pairs = [np.zeros((2, 0), np.int64)]
+        for first, part in _text.chunks(texts):
+            found = find_letters(part)
+            begin = np.cumsum(found.sizes) - found.sizes
+            long = np.flatnonzero(found.sizes >= 3)
+            raw, ends = found.letter.tobytes(), (begin + np.minimum(found.sizes, LONG))[long].tolist()
+            ids = np.fromiter((index.setdefault(raw[a:z], len(index)) for a, z in zip(begin[long].tolist(), ends, strict=True)), np.int64, len(long))
+            pairs.append(np.unique(np.stack([first + found.doc[long], ids]), axis=1))
+        self.doc, self.id = np.concatenate(pairs, axis=1)
+        super().__init__(list(index))
+
+
 def _initial(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     """A first score of each word: the highest log odds of its unbroken runs of four letters."""
     slots = np.zeros(len(vocabulary.words))
@@ -227,6 +251,20 @@ def _initial(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     return slots
 
 
+def _project(vocabulary: WordSet, ids: np.ndarray, used: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The words' coordinates in the landmarks' space, a thousand words at a time."""
+    out = np.zeros((len(ids), basis.shape[1]))
+    for start in range(0, len(ids), 1000):
+        part = ids[start : start + 1000]
+        rows, slots, values = vocabulary.features(part)
+        at = np.searchsorted(used, slots)
+        known = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots)
+        dense = np.zeros((len(part), len(used)))
+        np.add.at(dense, (rows[known], at[known]), values[known])
+        out[start : start + len(part)] = dense @ basis
+    return out
+
+
 def _squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float) -> np.ndarray:
     """Newton's method on the active rows; the last weight is the bias and isn't shrunk."""
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
@@ -255,16 +293,33 @@ def _witnesses(vocabulary: Vocabulary, value: np.ndarray, docs: np.ndarray, most
 
 
 def train(texts: list[str | None], toxic: np.ndarray, prior: float, seed: int = 7) -> ToxicityModel:
-    """Fits the machine on documents and their labels; ``prior`` is the share of toxic ones where it will be used."""
+    """Fits the machine on documents and their labels; ``prior`` is the share of toxic ones where it will be used.
+
+    The curve is fitted on decisions about documents that the machine hasn't
+    seen: each half of the sample is judged by a machine of the other half.
+    """
     toxic = np.asarray(toxic, np.int64)
     texts = [t or "" for t in texts]
-    empty = ToxicityModel(np.zeros(1 << SLOT_BITS, np.float32), 0.0, np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0]))
-    if not (0 < toxic.sum() < len(toxic)):
-        return empty
+    machine = _machine(texts, toxic, seed)
+    if machine is None:
+        return ToxicityModel(np.zeros(1 << SLOT_BITS, np.float32), 0.0, np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0]))
+    half = np.arange(len(texts)) % 2
+    top = np.full((len(texts), 2), _NOTHING)
+    for side in (0, 1):
+        rows, others = np.flatnonzero(half == side), np.flatnonzero(half != side)
+        judge = _machine([texts[i] for i in others], toxic[others], seed + 1 + side) or machine
+        top[rows] = decisions([texts[i] for i in rows], *judge)
+    return ToxicityModel(machine[0], machine[1], _fit_curve(top, toxic, prior))
+
+
+def _machine(texts: list[str], toxic: np.ndarray, seed: int) -> tuple[np.ndarray, float] | None:
+    """(weights, bias), or None without two classes or words."""
+    if not len(toxic) or not 0 < toxic.sum() < len(toxic):
+        return None
     rng = np.random.default_rng(seed)
     vocabulary = Vocabulary(texts)
     if not len(vocabulary.words):
-        return empty
+        return None
     value = _initial(vocabulary, toxic)
     clean_words = np.unique(vocabulary.id[toxic[vocabulary.doc] == 0])
     weights, bias = None, 0.0
@@ -290,13 +345,8 @@ def train(texts: list[str | None], toxic: np.ndarray, prior: float, seed: int =
         spectrum, basis = np.linalg.eigh(gram)
         ok = spectrum > 1e-6 * spectrum.max()
         root = basis[:, ok] / np.sqrt(spectrum[ok])
-        train_ids = np.concatenate([chosen, against])
-        rows, slots, values = vocabulary.features(train_ids)
-        at = np.searchsorted(used, slots)
-        known = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots)
-        dense = np.zeros((len(train_ids), len(used)), np.float32)
-        np.add.at(dense, (rows[known], at[known]), values[known].astype(np.float32))
-        z = dense @ (phi.T @ root)
+        own = phi.T @ root
+        z = np.concatenate([_project(vocabulary, chosen, used, own), _project(vocabulary, against, used, own)])
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(against))])
         weight = np.concatenate([np.sqrt(times) / np.sqrt(times).sum(), np.full(len(against), 2.0 / len(against))])
         w = _squared_hinge(z, y, weight, 1e-3)
@@ -304,9 +354,7 @@ def train(texts: list[str | None], toxic: np.ndarray, prior: float, seed: int =
         weights[used] = phi.T @ (root @ w[:-1])
         bias = float(w[-1])
         value = word_scores(vocabulary.letters, weights) + bias
-    if weights is None:
-        return empty
-    return ToxicityModel(weights.astype(np.float32), bias, _fit_curve(decisions(texts, weights, bias), toxic, prior))
+    return None if weights is None else (weights.astype(np.float32), bias)
 
 
 def _fit_curve(top: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
@@ -349,7 +397,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | No
     # At most about sum(sample) ids and labels.
     chosen = F.broadcast(taken.groupBy("id").agg(F.max("y").alias("y")))
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = sorted((r["doc"], r["text"] or "", r["y"]) for r in own.join(chosen, F.col("doc") == F.col("id")).select("doc", "text", "y").toLocalIterator())
+    rows = sorted((r["doc"], r["text"] or "", r["y"]) for r in own.join(chosen, F.col("doc") == F.col("id")).select("doc", "text", "y").toLocalIterator(prefetchPartitions=True))
     return train([r[1] for r in rows], np.array([r[2] for r in rows]), counts[1] / (counts[0] + counts[1]))
 
 
