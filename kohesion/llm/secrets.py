@@ -12,8 +12,10 @@ tests ask whether it is less regular than text in that encoding would be:
 * serial correlation: the correlation of neighbouring symbols, compared with
   that of a regular sequence.
 
-Fisher's method combines the three p-values.  A token is reported if it passes
-a Benjamini-Hochberg step-up over all candidates of its length class, so the
+A token is random only if it is irregular by every test, so its p-value is the
+largest of the three (an intersection-union test: mixed-case identifiers change
+class as often as random text but repeat letters, counters do the opposite).  A
+token is reported if it passes a Benjamini-Hochberg step-up over all candidates of its length class, so the
 share of false reports is controlled separately for short tokens, which carry
 little evidence, and long ones.  The step-up runs over counts in bins of
 log10 p and rounds p up to its bin's edge.  All of it is DataFrame functions;
@@ -35,7 +37,10 @@ ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"((?<![0-9a-f])[0-9a-f]{32,})"
 #: Kind, pattern, the group whose length counts, the least length.
 BASE = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 1, 16), ("hex", HEX, 1, 32))
-TOKEN = r"((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2})"
+#: Runs of 20 or more that hold a digit or a change from lower to upper case.
+TOKEN = r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{20,}={0,2})"
+#: What every match of the above starts with; texts without it are looked at once.
+ANY = r"(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)[\"'\x20:=]|AKIA|[0-9a-f]{32}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z])"
 METHOD_KIND = "random"
 
 # The null model, text written in each encoding.
@@ -44,7 +49,7 @@ ENCODINGS = {"hex": (16, 0.12), "base32": (32, 0.075), "base36": (36, 0.07), "ba
 #: The rate at which text changes character class.
 CHANGE_RATE = 0.12
 #: The lag-1 correlation of a regular sequence.
-REGULAR = 0.6
+REGULAR = 0.95
 #: Lower ends of the length classes.
 LENGTHS = (20, 32, 48, 96)
 BINS_PER_DECADE = 100
@@ -54,7 +59,7 @@ LAST_BIN = 30_000
 def _positions(text: Column, pattern: str, kind: str, group: int, least: int) -> Column:
     """Spans (start, end, kind) of the matches whose ``group`` is long enough, in code points."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    value = whole if group == 1 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(value, F.length).alias("value"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("spans"))
@@ -65,7 +70,11 @@ def _positions(text: Column, pattern: str, kind: str, group: int, least: int) ->
         span = F.struct(at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(found, start, step)["spans"]).otherwise(start["spans"])
+    return F.when(F.col("hit") & text.rlike(pattern), F.aggregate(found, start, step)["spans"]).otherwise(start["spans"])
+
+
+def _ranked(spans: str, rank: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def normal_tail(z: Column) -> Column:
@@ -94,32 +103,56 @@ def infer_encoding(token: Column) -> Column:
     )
 
 
-def randomness_p(token: Column) -> Column:
-    """Fisher's combination of the three tests; small where the token is less regular than text."""
-    chars = F.filter(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    encoding = infer_encoding(token)
-    alphabet, text_rate = _by_encoding(encoding, 0), _by_encoding(encoding, 1)
-    squares = F.aggregate(
-        F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda x: x == c)).cast("double"), F.lit(2.0))
-    )
-    chi2 = alphabet / n * squares - n
-    repeat = ((chi2 + n) * n / alphabet - n) / (n * (n - 1))
-    z1 = (text_rate - repeat) / F.sqrt(2 * text_rate * (1 - text_rate) / (n * (n - 1)))
-    kinds = F.transform(chars, lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
-    later = F.slice(kinds, 2, F.size(kinds))
-    changes = F.aggregate(F.zip_with(kinds, later, lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))), F.lit(0), lambda a, b: a + b)
-    z2 = (changes - (n - 1) * CHANGE_RATE - 0.5) / F.sqrt((n - 1) * CHANGE_RATE * (1 - CHANGE_RATE))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, b: a + b) / n
-    centred = F.transform(codes, lambda c: c - mean)
-    power = F.aggregate(centred, F.lit(0.0), lambda a, b: a + b * b)
-    lagged = F.aggregate(F.zip_with(centred, F.slice(centred, 2, F.size(centred)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-    correlation = F.when(power > 0, lagged / power).otherwise(F.lit(1.0))
-    z3 = (REGULAR - F.abs(correlation)) * F.sqrt(n)
-    half = -(F.ln(normal_tail(z1)) + F.ln(normal_tail(z2)) + F.ln(normal_tail(z3)))
-    # A chi-squared tail with six degrees of freedom.
-    return F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))
+def randomness_p(tokens: Column) -> Column:
+    """An array of (start, end, token) as (start, end, p): the largest p-value of the three tests.
+
+    p is small where the token is less regular than text by every test.  Every step binds
+    what the next one needs, as an expression inside a lambda is evaluated as
+    often as it is written.
+    """
+    at = lambda t: (t["start"].alias("start"), t["end"].alias("end"))
+
+    def letters(t: Column) -> Column:
+        return F.struct(*at(t), infer_encoding(t["token"]).alias("encoding"), F.filter(F.split(F.rtrim(t["token"], F.lit("=")), ""), lambda c: c != "").alias("chars"))
+
+    def codes(t: Column) -> Column:
+        kind = lambda c: F.when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).when(c.between("0", "9"), 3).otherwise(4)
+        return F.struct(*at(t), t["encoding"].alias("encoding"), F.size(t["chars"]).cast("double").alias("n"), F.transform(t["chars"], lambda c: F.ascii(c).cast("double")).alias("codes"), F.transform(t["chars"], kind).alias("kinds"))
+
+    def counts(t: Column) -> Column:
+        square = lambda c: F.pow(F.size(F.filter(t["codes"], lambda x: x == c)).cast("double"), F.lit(2.0))
+        changed = F.zip_with(t["kinds"], F.slice(t["kinds"], 2, F.size(t["kinds"])), lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0)))
+        return F.struct(
+            *at(t),
+            t["n"].alias("n"),
+            t["codes"].alias("codes"),
+            _by_encoding(t["encoding"], 0).alias("alphabet"),
+            _by_encoding(t["encoding"], 1).alias("rate"),
+            F.aggregate(F.array_distinct(t["codes"]), F.lit(0.0), lambda s, c: s + square(c)).alias("squares"),
+            F.aggregate(changed, F.lit(0), lambda a, b: a + b).alias("changes"),
+            (F.aggregate(t["codes"], F.lit(0.0), lambda a, b: a + b) / t["n"]).alias("mean"),
+        )
+
+    def centred(t: Column) -> Column:
+        return t.withField("codes", F.transform(t["codes"], lambda c: c - t["mean"]))
+
+    def scores(t: Column) -> Column:
+        n, rate = t["n"], t["rate"]
+        chi2 = t["alphabet"] / n * t["squares"] - n
+        repeat = ((chi2 + n) * n / t["alphabet"] - n) / (n * (n - 1))
+        z1 = (rate - repeat) / F.sqrt(2 * rate * (1 - rate) / (n * (n - 1)))
+        z2 = (t["changes"] - (n - 1) * CHANGE_RATE - 0.5) / F.sqrt((n - 1) * CHANGE_RATE * (1 - CHANGE_RATE))
+        power = F.aggregate(t["codes"], F.lit(0.0), lambda a, b: a + b * b)
+        lagged = F.aggregate(F.zip_with(t["codes"], F.slice(t["codes"], 2, F.size(t["codes"])), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+        return F.struct(*at(t), n.alias("n"), z1.alias("z1"), z2.alias("z2"), power.alias("power"), lagged.alias("lagged"))
+
+    def tails(t: Column) -> Column:
+        correlation = F.when(t["power"] > 0, t["lagged"] / t["power"]).otherwise(F.lit(1.0))
+        z3 = (REGULAR - F.abs(correlation)) * F.sqrt(t["n"])
+        # The smallest score has the largest tail.
+        return F.struct(*at(t), normal_tail(F.least(t["z1"], t["z2"], z3)).alias("p"))
+
+    return reduce(F.transform, (letters, codes, counts, centred, scores, tails), tokens)
 
 
 def _length_class(size: Column) -> Column:
@@ -129,28 +162,26 @@ def _length_class(size: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, candidates): spans of the base kinds, and tested tokens that overlap none of them, per row."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).select(
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).select("id", "text", F.col("text").rlike(ANY).alias("hit"))
+    found = own.select(
         "id", "text", *[_positions(F.col("text"), p, k, g, n).alias(k) for k, p, g, n in BASE], _positions(F.col("text"), TOKEN, METHOD_KIND, 1, 20).alias("tokens")
     )
     # Spans that start together go by the order in which kinds are listed.
-    ranked = F.sort_array(
-        F.concat(*[F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))) for i, (k, *_) in enumerate(BASE)])
-    )
+    ranked = F.sort_array(F.concat(*[_ranked(k, i) for i, (k, *_) in enumerate(BASE)]))
     base = found.select("id", "text", "tokens", *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE], ranked.alias("base"))
     tokens = F.transform(
         F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"]).alias("token")),
     )
-    tokens = F.filter(tokens, lambda t: t["token"].rlike("[0-9]|[a-z][A-Z]"))
     tested = base.select("id", "base", *[f"n_{k}" for k, *_ in BASE], tokens.alias("tokens"))
     size = lambda t: t["end"] - t["start"]
     candidates = F.transform(
-        "tokens",
+        randomness_p(F.col("tokens")),
         lambda t: F.struct(
             t["start"].alias("start"),
             t["end"].alias("end"),
             _length_class(size(t)).alias("class"),
-            F.least(F.floor(-F.log10(randomness_p(t["token"])) * BINS_PER_DECADE), F.lit(LAST_BIN)).cast("int").alias("bin"),
+            F.least(F.floor(-F.log10(F.greatest(t["p"], F.lit(1e-300))) * BINS_PER_DECADE), F.lit(LAST_BIN)).cast("int").alias("bin"),
         ),
     )
     return tested.select("id", "base", *[f"n_{k}" for k, *_ in BASE], candidates.alias("candidates"))
@@ -166,7 +197,7 @@ def step_up(scanned: DataFrame, q: float) -> DataFrame:
     return passed.groupBy("class").agg(F.min("bin").alias("least"))
 
 
-def find_secrets(docs: DataFrame, q: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base, found) per row of ``docs``.
 
     ``base`` and ``found`` are arrays of (start, rank, end, kind) by start and
