@@ -9,7 +9,9 @@ not stored but summed from the files' own counts.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from kohesion.llm._store import new_path, parallelism
 
 #: Word forms that an encoder remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_COMBINING = re.compile("[\u0300-\u036f]")
 ENCODINGS = ("dictionary", "delta")
 _encoders: dict[str, Encoder] = {}
 
@@ -29,9 +33,11 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """A tokenizer whose ids are remembered by word form.
 
-    Only for tokenizers that drop white space before they merge: parts between
-    spaces, tabs and line ends are then encoded independently, and a text's ids
-    are those of its parts in order.
+    Only for tokenizers that compose, fold case and drop white space before
+    they cut letters from other characters and merge: parts between spaces,
+    tabs and line ends are then encoded independently, a full stop or comma
+    after letters is a part of its own, and a text's ids are those of its parts
+    in order.
     """
 
     def __init__(self, path: str):
@@ -39,29 +45,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {mark: self._ids(mark) for mark in ".,"}
         self.recent: dict[str, bytes] = {"": b""}
         self.earlier: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of distinct parts; runs of letters are encoded together and told apart by the vocabulary's word ends."""
+        out = {}
+        letters = [w for w in texts if w.isalpha()]
+        for i in range(0, len(letters), 512):
+            part = letters[i : i + 512]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or (len(cuts) and cuts[-1] != len(ids)):
+                out.update((w, self._ids(w)) for w in part)
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out.update((w, raw[a:z]) for w, a, z in zip(part, bounds[:-1], bounds[1:], strict=True))
+        others = [w for w in texts if w not in out]
+        for w, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [], strict=True):
+            out[w] = np.asarray(found.ids, "<u4").tobytes()
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
         recent, earlier = self.recent, self.earlier
-        missing = []
-        for word in set(words).difference(recent):
-            ids = earlier.get(word)
-            if ids is None:
-                missing.append(word)
-            else:
-                recent[word] = ids
-        if missing:
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                recent[word] = np.asarray(found.ids, "<u4").tobytes()
-        out = b"".join(map(recent.__getitem__, words))
-        if len(recent) > REMEMBERED:
-            self.earlier, self.recent = recent, {"": b""}
+        before = missing & earlier.keys()
+        recent.update({w: earlier[w] for w in before})
+        unknown = missing - before
+        marked = [w for w in unknown if w[-1] in self.marks and w[:-1].isalpha()]
+        need = unknown.difference(marked).union([w[:-1] for w in marked])
+        known = {w: recent[w] for w in need & recent.keys()}
+        need.difference_update(known)
+        again = {w: earlier[w] for w in need & earlier.keys()}
+        recent.update(again)
+        recent.update(self._words(list(need.difference(again))))
+        marks = self.marks
+        recent.update({w: recent[w[:-1]] + marks[w[-1]] for w in marked})
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [_parts(_fold(t)) for t in texts]
+        words = list(itertools.chain.from_iterable(split))
+        ids = list(map(self.recent.get, words))
+        if None in ids:
+            gaps = [i for i, found in enumerate(ids) if found is None]
+            new = [words[i] for i in gaps]
+            self._learn(set(new))
+            for i, found in zip(gaps, map(self.recent.__getitem__, new), strict=True):
+                ids[i] = found
+        ends = itertools.accumulate(map(len, split), initial=0)
+        out = [b"".join(ids[a:z]) for a, z in itertools.pairwise(ends)]
+        if len(self.recent) > REMEMBERED:
+            self.earlier, self.recent = self.recent, {"": b""}
         return out
 
 
+def _parts(text: str) -> list[str]:
+    """The text cut at white space that the tokenizer drops; characters that only Python takes for white space stay in their parts."""
+    if _ODD_SPACE.search(text):
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return text.split()
+
+
+def _fold(text: str) -> str:
+    """A-Z folded, where that can't change what the tokenizer sees: no combining marks, no special tokens."""
+    if text.isascii():
+        return text if "<|" in text else text.lower()
+    if "<|" in text or _COMBINING.search(text):
+        return text
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def encoder(path: str) -> Encoder:
     """The process's encoder for a vocabulary file."""
     if path not in _encoders:
@@ -75,11 +135,12 @@ def encode_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int):
         ids, texts = batch.column(0), batch.column(1)
         at = 0
         while at < batch.num_rows:
-            parts, size, first = [], 0, at
-            while at < batch.num_rows and size < 4 << 20:
-                parts.append(own.encode(texts[at].as_py() or "") + end)
-                size += len(parts[-1])
+            group, size, first = [], 0, at
+            while at < batch.num_rows and size < 1 << 20:
+                group.append(texts[at].as_py() or "")
+                size += len(group[-1])
                 at += 1
+            parts = [p + end for p in own.encode_many(group)]
             counts = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(parts), "<i4")))
