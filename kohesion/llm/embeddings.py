@@ -196,9 +196,9 @@ def near_vectors(
     each other.  Equal rows link.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    own = vectors.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"), F.col(f"`{label_col}`").alias("label")
-    )
+    # Single-precision components travel as such; they are widened where cosines are taken.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(kind).alias("embedding"), F.col(f"`{label_col}`").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = own.filter(usable)
@@ -241,10 +241,10 @@ def _links(points: DataFrame, n: int, threshold: float, recall: float, sample: i
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 cells = sent.value.traverse(_unit(_matrix(part.column(2))))
-                lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], ["rep", "copies", "embedding", "l", "visits"])
 
-    cells = points.select("rep", "copies", "embedding", F.xxhash64("label").alias("l")).mapInArrow(assign, "rep long, copies long, embedding array<double>, l long, visits array<long>")
+    cells = points.select("rep", "copies", "embedding", F.xxhash64("label").alias("l")).mapInArrow(assign, f"rep long, copies long, embedding {dict(points.dtypes)['embedding']}, l long, visits array<int>")
     cells = save(cells, "vector-cells")
     visitors = cells.select("l", F.explode("visits").alias("cell"), "rep").groupBy("l", "cell").agg(F.count("*").alias("v"))
     residents = cells.groupBy("l", F.element_at("visits", 1).alias("cell")).agg(F.count("*").alias("r"))
