@@ -96,9 +96,10 @@ def _masks(blocks: int, radius: int) -> list[int]:
 
 def shard_forest(batches, radius: int, masks: list[int]):
     """Links of the shards that one task holds, as (a, b) rows of spanning forests."""
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    rows = pa.Table.from_batches(held)
     which = rows.column("mask").to_numpy()
     values = rows.column("fp").to_numpy().view(np.uint64)
     rep = rows.column("rep").to_numpy()
@@ -169,10 +170,13 @@ def near_dedup(
     repeat the id that stays, one stays.
     """
     classes = simhash_components(docs, words, radius, blocks, id_col, text_col)
-    stay = save(classes.filter("id = component").groupBy(F.col("id").alias("__kept")).agg(F.count("*").alias("__rows")), "simhash-kept")
+    dropped = classes.filter("id <> component").select(F.col("id").alias("__gone"))
+    repeated = save(classes.filter("id = component").groupBy(F.col("id").alias("__gone")).count().filter("count > 1").select("__gone"), "simhash-repeats")
+    gone = save(dropped.union(repeated).distinct(), "simhash-dropped")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    same = F.col("__id") == F.col("__kept")
-    once = packed.join(stay.filter("__rows = 1"), same, "left_semi")
-    repeated = packed.join(stay.filter("__rows > 1"), same, "left_semi").groupBy("__id").agg(F.min("__row").alias("__row"))
-    nulls = packed.filter("__id is null")
-    return once.select("__row").union(repeated.select("__row")).union(nulls.select("__row")).select("__row.*")
+    same = F.col("__id") == F.col("__gone")
+    kept = packed.join(gone, same, "left_anti").select("__row")
+    if not repeated.isEmpty():
+        one = packed.join(repeated, same, "left_semi").groupBy("__id").agg(F.min("__row").alias("__row"))
+        kept = kept.union(one.select("__row"))
+    return kept.select("__row.*")
