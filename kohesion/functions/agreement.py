@@ -22,21 +22,26 @@ def adjusted_rand(pairs: DataFrame, by: Sequence[str], a: str, b: str, name: str
     """(*by, name): the adjusted Rand index of columns ``a`` and ``b`` in each group.
 
     1 for fewer than two rows and where the index can't exceed its expectation.
-    The rows are counted once; margins come from the counts.
+    The rows are counted once; every cell then adds to itself and to its two
+    margins, so all sums come from one more aggregation and without joins.
     """
     table = contingency(pairs, by, a, b)
-    cells = table.groupBy(*by).agg(F.sum(_choose2(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
-    rows = table.groupBy(*by, a).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(_choose2(F.col("n"))).alias("rows"))
-    cols = table.groupBy(*by, b).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(_choose2(F.col("n"))).alias("cols"))
-    if by:
-        joined = cells.join(rows, list(by)).join(cols, list(by))
-    else:
-        joined = cells.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(cols))
-    expected = F.col("rows") * F.col("cols") / _choose2(F.col("total"))
-    most = (F.col("rows") + F.col("cols")) / 2.0
+    nothing = F.lit(None)
+    parts = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")),
+            F.struct(F.lit(1).alias("kind"), F.col(a).alias("a"), nothing.cast(table.schema[b].dataType).alias("b")),
+            F.struct(F.lit(2).alias("kind"), nothing.cast(table.schema[a].dataType).alias("a"), F.col(b).alias("b")),
+        )
+    )
+    sums = table.select(*by, "n", parts.alias("part")).groupBy(*by, "part").agg(F.sum("n").alias("n"))
+    chosen = lambda kind, value: F.sum(F.when(F.col("part.kind") == kind, value))
+    joined = sums.groupBy(*by).agg(
+        chosen(0, _choose2(F.col("n"))).alias("cells"), chosen(1, _choose2(F.col("n"))).alias("rows"), chosen(2, _choose2(F.col("n"))).alias("cols"), chosen(0, F.col("n")).alias("total")
+    )
     # NULLIF keeps the other branches' division out of ANSI mode's way.
-    pairs_n = F.nullif(_choose2(F.col("total")), F.lit(0.0))
-    expected = F.col("rows") * F.col("cols") / pairs_n
+    expected = F.col("rows") * F.col("cols") / F.nullif(_choose2(F.col("total")), F.lit(0.0))
+    most = (F.col("rows") + F.col("cols")) / 2.0
     value = F.when(F.col("total") < 2, 1.0).when(most == expected, 1.0).otherwise((F.col("cells") - expected) / F.nullif(most - expected, F.lit(0.0)))
     return joined.select(*by, value.alias(name))
 

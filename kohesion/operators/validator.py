@@ -118,7 +118,7 @@ class Validator:
         table = clustering.config_table(spark, configs)
         metrics = resample.groupBy("config_id").agg(*[c for m in ("ari_stability", "ari_generalizability", "ari_average") for c in agreement.summary_columns(m, m)])
         results = table.join(metrics, "config_id", "left")
-        samples, pac = consensus.consensus_scores_blocked(runs.filter("split = 'train'"))
+        samples, pac = consensus.consensus_scores_blocked(runs.filter("split = 'train'"), n_samples=n)
         samples = settle(samples)
         results = results.join(pac.withColumnRenamed("pac", "consensus_pac_stability"), "config_id", "left").join(consensus.config_scores(samples, F.lit(n)), "config_id", "left")
         scored = settle(accuracy.sample_accuracy(predicted, x)) if policy.run_generalizability else None
