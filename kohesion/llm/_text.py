@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text handled at once, unless one text is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,6 +34,25 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
         yield first, part
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """An object that a worker process keeps for its next tasks; it keeps one, and none through other operators' tasks."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def pieces(batches, rows: int = 512):
+    """The batches in slices of a few rows, so that a task holds the Python strings of those only."""
+    _kept.clear()
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:

@@ -173,7 +173,7 @@ def find_contained(
 
         def run(batches, sent=sent):
             index = sent.value
-            for batch in batches:
+            for batch in _text.pieces(batches):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = []
                 for first, part in _text.chunks(texts):
@@ -197,7 +197,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, t
 
         def run(batches, sent=sent):
             index = sent.value
-            for batch in batches:
+            for batch in _text.pieces(batches):
                 bad = np.zeros(batch.num_rows, bool)
                 for first, part in _text.chunks(batch.column(at).cast(pa.string()).to_pylist()):
                     for t, _, _ in contained(index, part):

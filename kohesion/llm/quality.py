@@ -231,7 +231,7 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", t
     own = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def patterns(batches):
-        for batch in batches:
+        for batch in _text.pieces(batches):
             codes = vote_codes(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64())], ["code"])
 
@@ -243,7 +243,7 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", t
     kept = own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
     def sampled(batches):
-        for batch in batches:
+        for batch in _text.pieces(batches):
             for _, part in _text.chunks(batch.column(0).to_pylist()):
                 x = features(part).astype(np.float16)
                 code = vote_codes(part)
@@ -270,7 +270,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5,
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in _text.pieces(batches):
             weak, marks = _score_batch(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak), pa.array(marks), pa.array(marks >= threshold)], ["doc_id", "weak_label", "score", "good"])
 
@@ -290,7 +290,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.pieces(batches):
             _, marks = _score_batch(batch.column(at).cast(pa.string()).to_pylist(), sent.value)
             yield batch.filter(pa.array(marks >= threshold))
 

@@ -410,7 +410,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.pieces(batches):
             marks = score(batch.column(1).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks), pa.array((marks >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
