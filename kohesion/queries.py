@@ -567,6 +567,43 @@ def category_order(spark, d):
     return products.category_order(table(spark, d, "documents"), "source", "size_desc")
 
 
+@query("select round(min(p_retailprice) - greatest(0.02, 0.05 * (max(p_retailprice) - min(p_retailprice))), 4) as low, round(max(p_retailprice) + greatest(0.02, 0.05 * (max(p_retailprice) - min(p_retailprice))), 4) as high from part")
+def axis_limits(spark, d):
+    return rounded(products.axis_limits(table(spark, d, "part").select(F.col("p_retailprice").alias("score")), "score"), 4)
+
+
+@query("select p_partkey, p_size as label, cast(dense_rank() over (order by p_size) as integer) as display from part")
+def relabel_from_one(spark, d):
+    return products.relabel_from_one(table(spark, d, "part").select("p_partkey", F.col("p_size").alias("label"))).select("p_partkey", "label", "display")
+
+
+@query("with f as (select source, min(doc_id) as p from documents where source is not null group by source), c as (select source, row_number() over (order by p, source) - 1 as code from f) select d.doc_id, c.code from documents d join c using (source)")
+def factorize_first_seen(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return labels.factorize(docs, "source", "doc_id").select("doc_id", F.col("code").cast("long").alias("code"))
+
+
+@query(f"with {_RUNS}, c as (select config_id, resample, split, count(distinct label) as n_labels from runs group by all) select config_id, resample, split, n_labels, config_id as n_clusters from c where n_labels <> config_id")
+def label_count_warnings(spark, d):
+    """Runs that found another number of cells than asked for."""
+    configs = spark.createDataFrame([(k, k) for k in KS], "config_id int, n_clusters int")
+    return agreement.label_count_warnings(_voronoi(spark, d), configs).select("config_id", "resample", "split", "n_labels", "n_clusters")
+
+
+@query("select cast(dim - 1 as integer) as dim, round(v, 6) as v from (select d as dim, (avg(x) over (partition by d)) as v, row_number() over (partition by d order by vec_id) as rn from (select vec_id, d, cast(embedding[d] as double) as x from embeddings, range(1, 65) as t(d))) where rn = 1")
+def transpose_means(spark, d):
+    """Components as samples and vectors as features; the mean of each new sample."""
+    wide = features.transpose(table(spark, d, "embeddings"), "vec_id", "embedding")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x")
+    return rounded(wide.select(F.col("sample_id").cast("int").alias("dim"), mean.alias("v")))
+
+
+@query("select upper(substr(replace(lang, '_', ' '), 1, 1)) || substr(lang, 2) as name, count(*) as n from documents group by lang")
+def display_names(spark, d):
+    docs = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return docs.select(reports.display_name(F.col("lang")).alias("name"), "n")
+
+
 # ---------------------------------------------------------------- kernels, checked by tests on values and thresholds
 
 
@@ -645,6 +682,40 @@ def align_reference(spark, d):
     return spark.createDataFrame([(int(i), int(v)) for i, v in zip(cells["sample_id"], out, strict=True)], "sample_id long, aligned int")
 
 
+@query()
+def null_box_features(spark, d):
+    return rounded(sampling.null_box(_x(spark, d)).select("sample_id", F.col("x")[0].alias("x0")))
+
+
+@query()
+def variable_dimensions(spark, d):
+    return rounded(features.top_variable(features.asinh(_part(spark, d)), 2, 1))
+
+
+@query()
+def validator_results(spark, d):
+    """The results table of a whole fit: two estimators, three numbers of clusters."""
+    from kohesion.operators.validator import Validator
+
+    grids = [("kmeans", {"n_clusters": [2, 3, 4]}), ("agglomerative", {"n_clusters": [2, 3, 4], "linkage": ["ward"]})]
+    fit = Validator(n_resamples=N_RESAMPLES, estimator_param_grids=grids, classifier="nearest_centroid", random_state=0).fit(_x(spark, d))
+    return rounded(fit.fitted.results)
+
+
+@query()
+def baseline_curves(spark, d):
+    from kohesion.operators import benchmark
+
+    return rounded(benchmark.baseline_curves(_x(spark, d), [("kmeans", {"n_clusters": [2, 3, 4]})], n_null=2))
+
+
+@query()
+def baseline_best(spark, d):
+    from kohesion.operators import benchmark
+
+    return rounded(benchmark.baseline_best(benchmark.baseline_curves(_x(spark, d), [("kmeans", {"n_clusters": [2, 3, 4]})], ("silhouette", "calinski_harabasz"))))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
