@@ -7,6 +7,7 @@ callers that need exactness verify matches on the text itself.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ def kept(name: str, make):
     """An object that a worker process keeps for its next tasks; it keeps one, and none through other operators' tasks."""
     if name not in _kept:
         _kept.clear()
+        _trim()
         _kept[name] = make()
     return _kept[name]
 
@@ -51,6 +53,15 @@ def pieces(batches, rows: int = 512):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live through many tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _grow(n: int) -> None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 _KEYS = 65
+#: Queries of each tree in the first round of :meth:`Forest.connect`.
+ROUND = 512
 #: (query, node) pairs that a search holds at once.
 FRONTIER = 1 << 20
 
@@ -25,9 +27,12 @@ class Forest:
         sizes = np.diff(np.append(firsts, len(order)))
         self.root = np.empty(len(values), np.int64)
         self.root[order] = np.repeat(roots, sizes)
+        #: A point's place among those of its tree.
+        self.place = np.empty(len(values), np.int64)
+        self.place[order] = np.arange(len(order)) - np.repeat(firsts, sizes)
         rest = np.setdiff1d(np.arange(len(values)), roots, assume_unique=True)
         parent = self.root[rest]
-        keys, children = [], []
+        keys, children, self.levels = [], [], []
         while len(rest):
             edge = parent * _KEYS + np.bitwise_count(values[rest] ^ values[parent])
             order = np.argsort(edge, kind="stable")
@@ -35,6 +40,7 @@ class Forest:
             new = np.diff(edge, prepend=-1) > 0
             keys.append(edge[new])
             children.append(rest[new])
+            self.levels.append((edge[new] // _KEYS, rest[new]))
             child = rest[new][np.cumsum(new) - 1]
             rest, parent = rest[~new], child[~new]
         edges = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -42,17 +48,46 @@ class Forest:
         self.edges = edges[order]
         self.children = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
 
-    def search(self, radius: int):
-        """Yields arrays (query, node) of pairs within the radius, query > node, in bounded pieces."""
-        todo = [(np.arange(len(self.values)), self.root)]
+    def connect(self, radius: int) -> np.ndarray:
+        """For each point the smallest index among those that links within the radius reach.
+
+        Queries go in rounds that double.  Between rounds, subtrees whose points
+        all have one label are marked, and a query with that label doesn't enter
+        them: nothing new is there.  So a dense group of points, which is one
+        class after the first round, isn't compared pair by pair.
+        """
+        label = np.arange(len(self.values))
+        start, width = 0, ROUND
+        while len(query := np.flatnonzero((self.place >= start) & (self.place < start + width))):
+            known = self._uniform(label) if start else None
+            for a, b in self.search(radius, query, known):
+                merge(label, a, b)
+            start, width = start + width, 2 * width
+        return label
+
+    def _uniform(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The labels, and of each subtree its label if it has one only, else -1."""
+        low, high = label.copy(), label.copy()
+        for parents, children in reversed(self.levels):
+            np.minimum.at(low, parents, low[children])
+            np.maximum.at(high, parents, high[children])
+        return label.copy(), np.where(low == high, low, -1)
+
+    def search(self, radius: int, query: np.ndarray | None = None, known: tuple[np.ndarray, np.ndarray] | None = None):
+        """Yields arrays (query, node) of pairs within the radius, every pair from the side that comes first in its tree, in bounded pieces."""
+        query = np.arange(len(self.values)) if query is None else query
+        todo = [(query, self.root[query])]
         while todo:
             query, node = todo.pop()
             if len(query) > FRONTIER:
                 half = len(query) // 2
                 todo += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
+            if known is not None:
+                worth = known[0][query] != known[1][node]
+                query, node = query[worth], node[worth]
             far = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
-            hit = (far <= radius) & (query > node)
+            hit = (far <= radius) & (self.place[query] < self.place[node])
             if hit.any():
                 yield query[hit], node[hit]
             low = np.searchsorted(self.edges, node * _KEYS + np.maximum(far - radius, 0))
