@@ -12,10 +12,11 @@ spanning forest of its links, never its pairs, and the forests are joined by
 
 One 64-bit fingerprint of two texts that share 0.8 of their shingles differs in
 some ten bits, more than a selective shard key allows.  With several ``bands``
-every text has as many independent fingerprints, each searched at ``radius``,
-and two texts link if one of them is near: on pairs of similarity 0.8, 0.85,
-0.9 and 0.95 radius 6 finds 24, 48, 67 and 87 % with one band and 56, 86, 96
-and over 99 % with three.
+every text has as many fingerprints, each searched at ``radius``, and two texts
+link if one of them is near.  Measured on 1,930 pairs of different texts with
+similarities of 0.80-0.85, 0.85-0.90, 0.90-0.95 and above, radius 6 finds 24, 48, 67
+and 87 % of them with one band and 46, 79, 94 and 100 % with three, before links
+through other texts of the group.
 """
 
 from __future__ import annotations
