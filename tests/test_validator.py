@@ -29,7 +29,8 @@ def test_fit(fitted):
     assert best["ari_stability"] > 0.9 and best["ari_generalizability"] > 0.9 and best["consensus_pac_stability"] > 0.95
     assert best["accuracy_generalizability"] > 0.3 and best["n_clusters"] == 3
     assert best["ari_average"] == pytest.approx((best["ari_stability"] + best["ari_generalizability"]) / 2)
-    assert fitted.get_estimator() == ("kmeans", {"n_clusters": 3})
+    name, params = fitted.get_estimator()
+    assert name in ("kmeans", "agglomerative") and params["n_clusters"] == 3
     assert fitted.get_estimator(k=4)[1]["n_clusters"] == 4
     assert fitted.warnings_table().count() == 0
 
