@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import itertools
 import os
+import posixpath
 import re
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kohesion.llm import _text
 from kohesion.llm._store import new_path, parallelism
 
 #: Word forms that an encoder remembers in each of two generations.
@@ -27,7 +31,6 @@ REMEMBERED = 600_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _COMBINING = re.compile("[\u0300-\u036f]")
 ENCODINGS = ("dictionary", "delta")
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -123,10 +126,8 @@ def _fold(text: str) -> str:
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The process's encoder for a vocabulary file; it is kept from task to task."""
+    return _text.kept(f"tokens {path}", lambda: Encoder(path))
 
 
 def encode_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int):
@@ -136,7 +137,7 @@ def encode_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int):
         at = 0
         while at < batch.num_rows:
             group, size, first = [], 0, at
-            while at < batch.num_rows and size < 1 << 20:
+            while at < batch.num_rows and size < 1 << 19:
                 group.append(texts[at].as_py() or "")
                 size += len(group[-1])
                 at += 1
@@ -193,19 +194,29 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            values, offsets = np.asarray(lists.values).astype("<i4", copy=False), np.asarray(lists.offsets)
-            raw = memoryview(np.ascontiguousarray(values)).cast("B")
-            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "file", "row", "n_tokens", "ids_crc32"])
-
-    files = spark.read.parquet(path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    rows = files.mapInArrow(run, "doc_id long, file string, row long, n_tokens long, ids_crc32 long")
-    # One row per file; the counts alone are read.
-    sizes = spark.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.sum("n_tokens").alias("size"))
+            for file in batch.column(0).to_pylist():
+                store, name = pafs.FileSystem.from_uri(file)
+                inside = 0
+                with store.open_input_file(name) as source:
+                    for part in pq.ParquetFile(source).iter_batches(2048, columns=["doc_id", "ids"]):
+                        lists = part.column(1)
+                        values, offsets = np.asarray(lists.values).astype("<i4", copy=False), np.asarray(lists.offsets).astype(np.int64)
+                        raw = memoryview(np.ascontiguousarray(values)).cast("B")
+                        sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(offsets.tolist())]
+                        counts = np.diff(offsets)
+                        before = inside + offsets[:-1] - offsets[0]
+                        inside += int(counts.sum())
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([posixpath.basename(name)] * len(counts)), pa.array(before), pa.array(counts), pa.array(sums, pa.int64())], ["doc_id", "file", "inside", "n_tokens", "ids_crc32"])
+
+    table = spark.read.parquet(path)
+    # One name per file; a task streams whole files, so places inside a file need no sort.
+    files = sorted(table.inputFiles())
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartitionByRange(max(1, len(files)), "file")
+    rows = names.mapInArrow(run, "doc_id long, file string, inside long, n_tokens long, ids_crc32 long")
+    # One row per file, from the column of counts alone.
+    sizes = table.select("n_tokens", F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.sum("n_tokens").alias("size"))
     before = sizes.select("name", (F.sum("size").over(Window.orderBy("name")) - F.col("size")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
-    return rows.withColumn("inside", inside).join(before, F.col("file") == F.col("name")).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(before, F.col("file") == F.col("name")).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_round_trip(docs: DataFrame, vocabulary: str, end_id: int, **options) -> DataFrame:
