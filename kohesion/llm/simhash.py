@@ -12,11 +12,11 @@ spanning forest of its links, never its pairs, and the forests are joined by
 
 One 64-bit fingerprint of two texts that share 0.8 of their shingles differs in
 some ten bits, more than a selective shard key allows.  With several ``bands``
-every text has as many fingerprints, each searched at ``radius``, and two texts
-link if one of them is near.  Measured on 1,930 pairs of different texts with
-similarities of 0.80-0.85, 0.85-0.90, 0.90-0.95 and above, radius 6 finds 24, 48, 67
-and 87 % of them with one band and 46, 79, 94 and 100 % with three, before links
-through other texts of the group.
+every text has as many fingerprints, each searched by itself, and two texts are
+candidates if one of them is near.  With ``reach`` the trees are searched further
+than ``radius``, which then only sets the shards: a pair further apart than
+``radius`` is found if its differing bits leave enough blocks whole.  Such
+candidates are reported as pairs, and :func:`verified` compares their shingle sets.
 """
 
 from __future__ import annotations
@@ -47,6 +47,15 @@ def fingerprints(texts: list[str | None], words: int, bands: int = 1) -> np.ndar
     first band takes XXH64 hashes as they are, the others mix them anew.
     """
     out = np.zeros((len(texts), bands), np.uint64)
+    for start, hashes, sizes in _shingles(texts, words):
+        for band in range(bands):
+            own = _text.mix(hashes + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if band else hashes
+            out[start : start + len(sizes), band] = _majority(own, sizes)
+    return out
+
+
+def _shingles(texts: list[str | None], words: int):
+    """Yields (index of the first text, shingle hashes of some texts one after another, the count of each text's)."""
     for start, part in _text.chunks(texts):
         found = _text.find_words(part)
         counts = found.counts
@@ -65,9 +74,15 @@ def fingerprints(texts: list[str | None], words: int, bands: int = 1) -> np.ndar
         hashes = np.fromiter(
             (digest(flat[i:j], SEED) for i, j in zip(starts[a].tolist(), ends[z].tolist(), strict=True)), np.uint64, len(a)
         )
-        for band in range(bands):
-            own = _text.mix(hashes + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if band else hashes
-            out[start : start + len(part), band] = _majority(own, shingles)
+        yield start, hashes, shingles
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; none for a text without words."""
+    out = [np.zeros(0, np.uint64)] * len(texts)
+    for start, hashes, sizes in _shingles(texts, words):
+        for i, own in enumerate(np.split(hashes, np.cumsum(sizes)[:-1])):
+            out[start + i] = np.unique(own)
     return out
 
 
@@ -82,13 +97,18 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", bands: int = 1) -> DataFrame:
-    """(id, fps): the fingerprints as signed 64-bit integers, one row per row of ``docs``."""
+def fingerprint_table(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", bands: int = 1, digest: bool = False) -> DataFrame:
+    """(id, fps): the fingerprints as signed 64-bit integers, one row per row of ``docs``; with ``digest``, a hash of the shingle set follows them."""
+    width = bands + digest
 
     def run(batches):
         for batch in _text.pieces(batches):
-            fps = fingerprints(batch.column(1).to_pylist(), words, bands).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, bands, dtype=np.int32), pa.array(fps.ravel()))
+            texts = batch.column(1).to_pylist()
+            fps = np.zeros((len(texts), width), np.uint64)
+            fps[:, :bands] = fingerprints(texts, words, bands)
+            if digest:
+                fps[:, bands] = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in shingle_sets(texts, words)]
+            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, width, dtype=np.int32), pa.array(fps.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "id long, fps array<long>")
@@ -106,11 +126,11 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [reduce(int.__or__, (block[i] for i in chosen)) for chosen in _shards(blocks, radius)]
 
 
-def shard_forest(batches, radius: int, masks: list[int]):
-    """Links of the shards that one task holds, as (a, b) rows of spanning forests."""
+def _shard_points(batches, masks: list[int]):
+    """(values, rep, which mask, tree) of the shards of two or more points that one task holds; None without rows."""
     held = [b for b in batches if b.num_rows]
     if not held:
-        return
+        return None
     rows = pa.Table.from_batches(held)
     which, values, rep = rows.column("mask").to_numpy(), rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
     key = values & np.array(masks, np.uint64)[which]
@@ -122,31 +142,75 @@ def shard_forest(batches, radius: int, masks: list[int]):
     # Most shards hold one point; the others go on.
     shared = np.bincount(tree)[tree] > 1
     tree, order = tree[shared], order[shared]
-    values, rep = values[order], rep[order]
-    del rows, held, which, key, new, shared, order
+    return values[order], rep[order], which[order], tree
+
+
+def shard_forest(batches, radius: int, masks: list[int]):
+    """Links of the shards that one task holds, as (a, b) rows of spanning forests."""
+    held = _shard_points(batches, masks)
+    if held is None:
+        return
+    values, rep, _, tree = held
     label = Forest(values, tree).connect(radius)
     moved = label != np.arange(len(label))
     pairs = np.unique(np.stack([rep[moved], rep[label[moved]]]), axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def link_fingerprints(points: DataFrame, radius: int, blocks: int) -> DataFrame:
+def shard_pairs(batches, radius: int, masks: list[int], own: int):
+    """The pairs (a, b) within the radius in the shards that one task holds; of the ``own`` masks of a band on which a pair agrees, the first reports it."""
+    held = _shard_points(batches, masks)
+    if held is None:
+        return
+    values, rep, which, tree = held
+    for a, b in Forest(values, tree).search(radius):
+        differ, first = values[a] ^ values[b], np.full(len(a), -1)
+        for i, mask in enumerate(masks[:own]):
+            first[(first < 0) & (differ & np.uint64(mask) == 0)] = i
+        a, b = a[first == which[a] % own], b[first == which[a] % own]
+        yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+
+def link_fingerprints(points: DataFrame, radius: int, blocks: int, reach: int | None = None) -> DataFrame:
     """Links (a, b) between the ``rep`` ids of ``points(band, fp, rep)`` within ``radius`` bits, enough to connect all that are linked.
 
-    A fingerprint may be in each band once.
+    A fingerprint may be in each band once.  With ``reach``, all pairs within
+    ``reach`` bits that share a shard, not links that connect them.
     """
     masks = _masks(blocks, radius)
     keyed = points.withColumn("mask", F.explode(F.array(*[F.lit(i) for i in range(len(masks))])))
     bits = F.element_at(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]), F.col("mask") + 1)
     shard: Column = F.xxhash64("band", "mask", F.col("fp").bitwiseAND(bits))
-    # A shard stays whole in a task; a task holds an even share of the shards.
-    dealt = keyed.select((F.col("band") * len(masks) + F.col("mask")).alias("mask"), "fp", "rep", shard.alias("shard")).repartition(parallelism(points.sparkSession), "shard").drop("shard")
+    # A shard stays whole in a task; a task holds an even share of the shards.  Its key is not shuffled.
+    dealt = keyed.repartition(parallelism(points.sparkSession), shard).select((F.col("band") * len(masks) + F.col("mask")).alias("mask"), "fp", "rep")
     bands = points.agg(F.max("band")).first()[0]
+    if reach is not None:
+        return dealt.mapInArrow(lambda batches: shard_pairs(batches, reach, masks * ((bands or 0) + 1), len(masks)), "a long, b long")
     return dealt.mapInArrow(lambda batches: shard_forest(batches, radius, masks * ((bands or 0) + 1)), "a long, b long")
 
 
+def verified(docs: DataFrame, links: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``links(a, b)`` between ids whose texts' shingle sets have at least this Jaccard similarity."""
+
+    def run(batches):
+        for batch in _text.pieces(batches):
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
+
+    pairs = save(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sets = save(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "simhash-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sized = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    # Two texts without words are equal.
+    return save(sized.filter((F.col("n") == 0) | (F.col("shared") >= F.lit(float(similarity)) * (F.col("n") - F.col("shared")) - 1e-9)).select("a", "b").distinct(), "simhash-verified")
+
+
 def simhash_components(
-    docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: int = 1
+    docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: int = 1, similarity: float | None = None, reach: int | None = None
 ) -> DataFrame:
     """(id, fp, component) for each row of ``docs``; ``fp`` is the first band's fingerprint.
 
@@ -155,17 +219,24 @@ def simhash_components(
     a null id gets its fingerprint, links with nothing and has a null
     component.  Rows that repeat an id are kept, each with its fingerprint;
     their links are those of the id.  An empty table gives an empty result.
+
+    With ``similarity``, links are only candidates: one holds if the Jaccard
+    similarity of the two texts' shingle sets is at least that.  Candidates are
+    all pairs within ``reach`` bits (``radius`` if it isn't given) that share a shard.
     """
-    prints = save(fingerprint_table(docs, words, id_col, text_col, bands), "simhash")
+    prints = save(fingerprint_table(docs, words, id_col, text_col, bands, similarity is not None), "simhash")
     known = prints.filter("id is not null")
     points = save(known.groupBy("fps").agg(F.min("id").alias("rep")), "simhash-points")
-    each = points.select("rep", F.posexplode("fps").alias("band", "fp"))
+    each = points.select("rep", F.posexplode(F.slice("fps", 1, bands)).alias("band", "fp"))
     first = each.groupBy("band", "fp").agg(F.min("rep").alias("rep"))
-    links = link_fingerprints(save(first, "simhash-bands"), radius, blocks)
-    if bands > 1:
+    wide = None if similarity is None else radius if reach is None else reach
+    links = link_fingerprints(save(first, "simhash-bands"), radius, blocks, wide)
+    if bands > 1 or similarity is not None:
         # Points that agree on a band in full.
         same = each.join(first.withColumnRenamed("rep", "least"), ["band", "fp"]).filter("rep <> least")
         links = links.union(same.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    if similarity is not None:
+        links = verified(docs, links, words, similarity, id_col, text_col)
     # An id with several texts joins the points of all of them.
     several = known.groupBy("id").agg(F.count_distinct("fps").alias("n")).filter("n > 1").select("id")
     own = known.join(several, "id").join(points, "fps").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -183,14 +254,14 @@ def hex_fingerprint(fp: str = "fp") -> Column:
 
 
 def near_dedup(
-    docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 9, bands: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 9, bands: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, reach: int | None = 12
 ) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
 
     Columns are those of ``docs``.  Rows with a null id all stay.  Of rows that
-    repeat the id that stays, one stays.
+    repeat the id that stays, one stays.  Links are verified on the shingle sets.
     """
-    classes = simhash_components(docs, words, radius, blocks, id_col, text_col, bands)
+    classes = simhash_components(docs, words, radius, blocks, id_col, text_col, bands, similarity, reach)
     dropped = classes.filter("id <> component").select(F.col("id").alias("__gone"))
     repeated = save(classes.filter("id = component").groupBy(F.col("id").alias("__gone")).count().filter("count > 1").select("__gone"), "simhash-repeats")
     gone = save(dropped.union(repeated).distinct(), "simhash-dropped")
