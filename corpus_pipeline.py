@@ -20,8 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, on shingles of five words."""
-    return simhash.near_dedup(docs, words=5, radius=6, blocks=9, bands=3)
+    """Keeps one document of each group of near duplicates: texts of similarity 0.8 on shingles of five words."""
+    return simhash.near_dedup(docs, words=5, radius=6, blocks=9, bands=5, similarity=0.8, reach=12)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
