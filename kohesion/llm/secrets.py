@@ -12,9 +12,11 @@ tests ask whether it is less regular than text in that encoding would be:
 * serial correlation: the correlation of neighbouring symbols, compared with
   that of a regular sequence.
 
-A token is random only if it is irregular by every test, so its p-value is the
-largest of the three (an intersection-union test: mixed-case identifiers change
-class as often as random text but repeat letters, counters do the opposite).  A
+A mixed-case token is random only if it is irregular by every test, so its p-value
+is the largest of the three (an intersection-union test: mixed-case identifiers
+change class as often as random text but repeat letters, counters do the opposite).
+In encodings of one case class changes are digits only, and the scores of the first
+two tests are added (Stouffer's method), as either alone is weak at 20 characters.  A
 token is reported if it passes a Benjamini-Hochberg step-up over all candidates of its length class, so the
 share of false reports is controlled separately for short tokens, which carry
 little evidence, and long ones.  The step-up runs over counts in bins of
@@ -104,9 +106,9 @@ def infer_encoding(token: Column) -> Column:
 
 
 def randomness_p(tokens: Column) -> Column:
-    """An array of (start, end, token) as (start, end, p): the largest p-value of the three tests.
+    """An array of (start, end, token) as (start, end, p): the combined p-value of the three tests.
 
-    p is small where the token is less regular than text by every test.  Every step binds
+    p is small where the token is less regular than text.  Every step binds
     what the next one needs, as an expression inside a lambda is evaluated as
     often as it is written.
     """
@@ -144,13 +146,14 @@ def randomness_p(tokens: Column) -> Column:
         z2 = (t["changes"] - (n - 1) * CHANGE_RATE - 0.5) / F.sqrt((n - 1) * CHANGE_RATE * (1 - CHANGE_RATE))
         power = F.aggregate(t["codes"], F.lit(0.0), lambda a, b: a + b * b)
         lagged = F.aggregate(F.zip_with(t["codes"], F.slice(t["codes"], 2, F.size(t["codes"])), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-        return F.struct(*at(t), n.alias("n"), z1.alias("z1"), z2.alias("z2"), power.alias("power"), lagged.alias("lagged"))
+        return F.struct(*at(t), n.alias("n"), t["alphabet"].alias("alphabet"), z1.alias("z1"), z2.alias("z2"), power.alias("power"), lagged.alias("lagged"))
 
     def tails(t: Column) -> Column:
         correlation = F.when(t["power"] > 0, t["lagged"] / t["power"]).otherwise(F.lit(1.0))
         z3 = (REGULAR - F.abs(correlation)) * F.sqrt(t["n"])
+        both = F.when(t["alphabet"] < 64, (t["z1"] + t["z2"]) / F.sqrt(F.lit(2.0))).otherwise(F.least(t["z1"], t["z2"]))
         # The smallest score has the largest tail.
-        return F.struct(*at(t), normal_tail(F.least(t["z1"], t["z2"], z3)).alias("p"))
+        return F.struct(*at(t), normal_tail(F.least(both, z3)).alias("p"))
 
     return reduce(F.transform, (letters, codes, counts, centred, scores, tails), tokens)
 
