@@ -11,25 +11,26 @@ from __future__ import annotations
 
 import itertools
 import os
-import posixpath
-import re
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kohesion.llm import _text
 from kohesion.llm._store import new_path, parallelism
 
-#: Word forms that an encoder remembers in each of two generations.
-REMEMBERED = 600_000
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_COMBINING = re.compile("[\u0300-\u036f]")
+#: Bytes of word forms and ids that an encoder remembers.
+REMEMBERED_BYTES = 32 << 20
+#: Bytes of text that are encoded at once, unless one text is longer.
+GROUP_BYTES = 2 << 20
+#: Texts whose letters aren't folded: combining marks follow them, or special tokens may stand there.
+_UNFOLDED = "<\\||[\u0300-\u036f]"
+#: A mark at the end of a part, behind a letter that stays one letter in normal form; see :class:`Encoder`.
+_MARKED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,]$"
 ENCODINGS = ("dictionary", "delta")
 
 
@@ -37,13 +38,17 @@ class Encoder:
     """A tokenizer whose ids are remembered by word form.
 
     Only for tokenizers that compose, fold case and drop white space before
-    they cut letters from other characters and merge: parts between spaces,
-    tabs and line ends are then encoded independently, a full stop or comma
-    after letters is a part of its own, and a text's ids are those of its parts
-    in order.
+    they cut letters from other characters and merge: parts between ASCII white
+    space are then encoded independently, and a text's ids are those of its
+    parts in order.  A last full stop or comma is cut off if a letter of Latin-1
+    stands before it; other letters may have marks in normal form, which join with it.
+
+    Arrow cuts texts, numbers parts and looks them up, so Python sees the unknown
+    ones only.  Remembered forms and ids are kept in arrays of bounded size; when
+    they are full, those used last stay.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,78 +56,90 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {mark: self._ids(mark) for mark in ".,"}
-        self.recent: dict[str, bytes] = {"": b""}
-        self.earlier: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, texts: list[str]) -> dict[str, bytes]:
-        """Ids of distinct parts; runs of letters are encoded together and told apart by the vocabulary's word ends."""
-        out = {}
-        letters = [w for w in texts if w.isalpha()]
-        for i in range(0, len(letters), 512):
-            part = letters[i : i + 512]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        self.marks = [np.asarray(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<i4") for mark in ".,"]
+        self.remembered = remembered
+        self.forms = pa.array([], pa.string())
+        self.sizes = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)
+        self.turn = 0
+
+    def _learn(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each part, ids); runs of letters are encoded together and told apart by the vocabulary's word ends."""
+        found: list[np.ndarray | None] = [None] * len(forms)
+        letters = [i for i, w in enumerate(forms) if w.isalpha()]
+        for start in range(0, len(letters), 512):
+            part = letters[start : start + 512]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join([forms[i] for i in part])], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or (len(cuts) and cuts[-1] != len(ids)):
-                out.update((w, self._ids(w)) for w in part)
-                continue
-            raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            out.update((w, raw[a:z]) for w, a, z in zip(part, bounds[:-1], bounds[1:], strict=True))
-        others = [w for w in texts if w not in out]
-        for w, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [], strict=True):
-            out[w] = np.asarray(found.ids, "<u4").tobytes()
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        recent, earlier = self.recent, self.earlier
-        before = missing & earlier.keys()
-        recent.update({w: earlier[w] for w in before})
-        unknown = missing - before
-        marked = [w for w in unknown if w[-1] in self.marks and w[:-1].isalpha()]
-        need = unknown.difference(marked).union([w[:-1] for w in marked])
-        known = {w: recent[w] for w in need & recent.keys()}
-        need.difference_update(known)
-        again = {w: earlier[w] for w in need & earlier.keys()}
-        recent.update(again)
-        recent.update(self._words(list(need.difference(again))))
-        marks = self.marks
-        recent.update({w: recent[w[:-1]] + marks[w[-1]] for w in marked})
+            # Each part has one end at least, so equal numbers mean one each.
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                for i, a, z in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    found[i] = ids[a:z]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        for start in range(0, len(others), 512):
+            part = others[start : start + 512]
+            for i, one in zip(part, self.tokenizer.encode_batch_fast([forms[i] for i in part], add_special_tokens=False), strict=True):
+                found[i] = np.asarray(one.ids, np.int32)
+        return np.fromiter(map(len, found), np.int32, len(found)), np.concatenate(found) if found else np.zeros(0, np.int32)
+
+    def _look_up(self, forms: pa.Array) -> np.ndarray:
+        """Places of distinct parts among the remembered ones, after the unknown are learned."""
+        self._forget()
+        self.turn += 1
+        place = pc.index_in(forms, value_set=self.forms)
+        unknown = forms.filter(pc.is_null(place))
+        place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).copy()
+        place[place < 0] = len(self.forms) + np.arange(len(unknown))
+        if len(unknown):
+            sizes, ids = self._learn(unknown.to_pylist())
+            self.forms = pa.concat_arrays([self.forms, unknown])
+            self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(unknown), np.int32)])
+        self.used[place] = self.turn
+        return place
+
+    def _forget(self) -> None:
+        size = np.asarray(pc.binary_length(self.forms)).astype(np.int64) + 4 * self.sizes + 16
+        if size.sum() <= self.remembered:
+            return
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.sort(order[np.cumsum(size[order]) <= self.remembered // 2])
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int32)), pa.array(self.ids))
+        self.ids = np.asarray(table.take(pa.array(keep)).flatten())
+        self.forms, self.sizes, self.used = self.forms.take(pa.array(keep)), self.sizes[keep], self.used[keep]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of some texts, null as empty; ``end`` is put behind the ids of each."""
+        texts = pc.fill_null(texts, "")
+        folded = pc.if_else(pc.match_substring_regex(texts, _UNFOLDED), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(folded)
+        bounds = np.asarray(split.offsets).astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        parts, place = numbered.dictionary, np.asarray(numbered.indices)
+        marked = pc.match_substring_regex(parts, _MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
+        at = self._look_up(stems.dictionary)[np.asarray(stems.indices)]
+        # Behind the remembered parts stand the two marks and the end, each an entry of its own.
+        more = [*self.marks, np.asarray([] if end is None else [end], np.int32)]
+        known = len(self.sizes)
+        sizes = np.concatenate([self.sizes, [len(m) for m in more]]).astype(np.int64)
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([self.ids, *more])))
+        marked = marked.to_numpy(zero_copy_only=False)
+        mark = known + pc.ends_with(parts, ",").to_numpy(zero_copy_only=False).astype(np.int64)
+        two = marked[place]
+        entries = np.repeat(at[place], 1 + two)
+        after = np.concatenate([[0], np.cumsum(1 + two)])
+        entries[after[1:][two] - 1] = mark[place[two]]
+        bounds = after[bounds - bounds[0]]
+        entries = np.insert(entries, bounds[1:], known + 2)
+        total = np.concatenate([[0], np.cumsum(sizes[entries])])
+        return total[bounds + np.arange(len(bounds))], np.asarray(table.take(pa.array(entries)).flatten())
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_parts(_fold(t)) for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        ids = list(map(self.recent.get, words))
-        if None in ids:
-            gaps = [i for i, found in enumerate(ids) if found is None]
-            new = [words[i] for i in gaps]
-            self._learn(set(new))
-            for i, found in zip(gaps, map(self.recent.__getitem__, new), strict=True):
-                ids[i] = found
-        ends = itertools.accumulate(map(len, split), initial=0)
-        out = [b"".join(ids[a:z]) for a, z in itertools.pairwise(ends)]
-        if len(self.recent) > REMEMBERED:
-            self.earlier, self.recent = self.recent, {"": b""}
-        return out
-
-
-def _parts(text: str) -> list[str]:
-    """The text cut at white space that the tokenizer drops; characters that only Python takes for white space stay in their parts."""
-    if _ODD_SPACE.search(text):
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    return text.split()
-
-
-def _fold(text: str) -> str:
-    """A-Z folded, where that can't change what the tokenizer sees: no combining marks, no special tokens."""
-    if text.isascii():
-        return text if "<|" in text else text.lower()
-    if "<|" in text or _COMBINING.search(text):
-        return text
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        offsets, ids = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:z].astype("<u4").tobytes() for a, z in itertools.pairwise(offsets.tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -130,22 +147,27 @@ def encoder(path: str) -> Encoder:
     return _text.kept(f"tokens {path}", lambda: Encoder(path))
 
 
+def _groups(texts: pa.Array):
+    """(first row, row after the last) of groups of texts of about ``GROUP_BYTES``."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    first, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= GROUP_BYTES:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def encode_batches(batches: Iterable[pa.RecordBatch], path: str, end_id: int):
-    own, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
+    own = encoder(path)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        at = 0
-        while at < batch.num_rows:
-            group, size, first = [], 0, at
-            while at < batch.num_rows and size < 1 << 19:
-                group.append(texts[at].as_py() or "")
-                size += len(group[-1])
-                at += 1
-            parts = [p + end for p in own.encode_many(group)]
-            counts = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
+        for first, after in _groups(texts):
+            offsets, values = own.encode(texts.slice(first, after - first), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([ids.slice(first, after - first), pa.array(np.diff(offsets)), lists], ["doc_id", "n_tokens", "ids"])
 
 
 def write_tokens(
@@ -189,34 +211,27 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
 
     ``start`` counts the ids of all documents before it in file and row order;
-    the checksum is over the ids as little-endian unsigned 32-bit integers.
+    files go by their least ids.  The checksum is over the ids as little-endian
+    unsigned 32-bit integers.  Spark reads the files, from any store it knows.
     """
 
     def run(batches):
         for batch in batches:
-            for file in batch.column(0).to_pylist():
-                store, name = pafs.FileSystem.from_uri(file)
-                inside = 0
-                with store.open_input_file(name) as source:
-                    for part in pq.ParquetFile(source).iter_batches(2048, columns=["doc_id", "ids"]):
-                        lists = part.column(1)
-                        values, offsets = np.asarray(lists.values).astype("<i4", copy=False), np.asarray(lists.offsets).astype(np.int64)
-                        raw = memoryview(np.ascontiguousarray(values)).cast("B")
-                        sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(offsets.tolist())]
-                        counts = np.diff(offsets)
-                        before = inside + offsets[:-1] - offsets[0]
-                        inside += int(counts.sum())
-                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([posixpath.basename(name)] * len(counts)), pa.array(before), pa.array(counts), pa.array(sums, pa.int64())], ["doc_id", "file", "inside", "n_tokens", "ids_crc32"])
+            lists = batch.column(3)
+            raw = memoryview(np.ascontiguousarray(np.asarray(lists.values).astype("<i4", copy=False))).cast("B")
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            sums = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in itertools.pairwise(offsets.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], ["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
     table = spark.read.parquet(path)
-    # One name per file; a task streams whole files, so places inside a file need no sort.
-    files = sorted(table.inputFiles())
-    names = spark.createDataFrame([(f,) for f in files], "file string").repartitionByRange(max(1, len(files)), "file")
-    rows = names.mapInArrow(run, "doc_id long, file string, inside long, n_tokens long, ids_crc32 long")
-    # One row per file, from the column of counts alone.
-    sizes = table.select("n_tokens", F.col("_metadata.file_name").alias("name")).groupBy("name").agg(F.sum("n_tokens").alias("size"))
-    before = sizes.select("name", (F.sum("size").over(Window.orderBy("name")) - F.col("size")).alias("before"))
-    return rows.join(before, F.col("file") == F.col("name")).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    place = (F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = table.select("doc_id", *place, "ids").mapInArrow(run, "doc_id long, file string, row long, n_tokens long, ids_crc32 long")
+    # One row per file, from two columns of numbers; an id that goes on in the next file has the lesser name first.
+    sizes = table.select("doc_id", "n_tokens", place[0]).groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("least"))
+    order = Window.orderBy("least", F.length("file"), "file")
+    before = sizes.select(F.col("file").alias("name"), (F.sum("size").over(order) - F.col("size")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
+    return rows.withColumn("inside", inside).join(before, F.col("file") == F.col("name")).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_round_trip(docs: DataFrame, vocabulary: str, end_id: int, **options) -> DataFrame:

@@ -1,8 +1,12 @@
+import functools
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from kohesion.llm import tokens
 from kohesion.llm._store import new_path
 from kohesion.llm.queries import END_ID, op10_token_files, vocabulary
@@ -13,10 +17,15 @@ ODD = [
 ]
 
 
-def brute(text):
+@functools.cache
+def plain():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(vocabulary())
+
+
+def brute(text):
+    return plain().encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_matches_the_tokenizer():
@@ -25,9 +34,44 @@ def test_encoder_matches_the_tokenizer():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [brute(t) for t in ODD] * 2
 
 
-def test_encoder_forgets_but_stays_right(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    own = tokens.Encoder(vocabulary())
+def test_every_letter_before_a_mark():
+    """Some letters have marks in normal form, which join with what follows."""
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c).startswith("L")]
+    texts = [f"{c}. a{c}, {c.upper()}{c}.x" for c in letters]
+    want = plain().encode_batch_fast(texts, add_special_tokens=False)
+    got = tokens.Encoder(vocabulary()).encode_many(texts)
+    assert len(letters) > 130_000
+    assert [c for c, g, w in zip(letters, got, want, strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+
+
+@functools.cache
+def kept():
+    return tokens.Encoder(vocabulary())
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list(" .,'<|>\x1c\x85\xa0\u3000aIKeéßſİıΣςσ\u0301\u0307\u09df\u0921\u093c\ufb1f\u200b12")), st.characters(exclude_categories=["Cs"]))), max_size=6))
+def test_any_text(texts):
+    own = kept()
+    assert [np.frombuffer(g, "<u4").tolist() for g in own.encode_many(texts)] == [w.ids for w in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_everyday_words_with_marks():
+    texts = ["\u0130. x", "\u09b9\u09df, \u09df.", "\u092a\u0939\u095c, \ufb1f."]
+    assert [np.frombuffer(g, "<u4").tolist() for g in tokens.Encoder(vocabulary()).encode_many(texts)] == [brute(t) for t in texts]
+
+
+def test_encoder_memory_is_bounded_by_bytes():
+    own = tokens.Encoder(vocabulary(), remembered=50_000)
+    for i in range(40):
+        own.encode_many([" ".join(f"word{i}x{j} {'u' * 200}{j}" for j in range(100))])
+        held = own.forms.nbytes + own.ids.nbytes
+        # What one group of texts adds comes on top.
+        assert held < 50_000 + 60_000
+
+
+def test_encoder_forgets_but_stays_right():
+    own = tokens.Encoder(vocabulary(), remembered=300)
     for t in ["some words and more words. Words, here", *ODD, "some words again."] * 2:
         assert np.frombuffer(own.encode_many([t])[0], "<u4").tolist() == brute(t)
 
