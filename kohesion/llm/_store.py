@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` or the context names; a fresh temporary one only where executors are threads of the driver.
+
+    A cluster without such a folder raises: executors can't read the driver's own disk.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kohesion-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kohesion-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 

@@ -42,7 +42,7 @@ def kept(name: str, make):
     """An object that a worker process keeps for its next tasks; it keeps one, and none through other operators' tasks."""
     if name not in _kept:
         _kept.clear()
-        _trim()
+        give_back()
         _kept[name] = make()
     return _kept[name]
 
@@ -53,10 +53,10 @@ def pieces(batches, rows: int = 512):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-    _trim()
+    give_back()
 
 
-def _trim() -> None:
+def give_back() -> None:
     """Gives freed memory back to the system, where the C library can: workers live through many tasks."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -80,6 +80,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def segment_hashes(array: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each segment of a byte array."""
+    _grow(len(array) + 1)
+    total = np.zeros(len(array) + 1, np.uint64)
+    np.cumsum((array.astype(np.uint64) + np.uint64(1)) * _powers[: len(array)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _inverse[starts])
+
+
+def take_segments(array: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The segments one after another."""
+    before = np.cumsum(sizes) - sizes
+    return array[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
 @dataclass
 class Words:
     """The words of some texts.  ``doc`` is each word's text; ``first`` each text's first word, with the total at the end."""
@@ -97,10 +111,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        _grow(len(self.array) + 1)
-        total = np.zeros(len(self.array) + 1, np.uint64)
-        np.cumsum((self.array.astype(np.uint64) + np.uint64(1)) * _powers[: len(self.array)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _inverse[self.starts])
+        return segment_hashes(self.array, self.starts, self.ends)
 
     def shingles(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text index of each run of ``k`` words inside one text."""

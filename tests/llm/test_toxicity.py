@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -18,32 +20,85 @@ def sentences(n, seed=0, insults=("idiot", "clown", "worthless", "pathetic")):
     return texts, np.array(toxic)
 
 
+def brute_spread(w):
+    out = {}
+    for c in toxicity.PATTERNS:
+        for i in range(len(w) - c[-1]):
+            u = w[i] + "".join(w[i + o] for o in c)
+            out[u] = out.get(u, 0) + toxicity.DECAY ** toxicity._skipped(c)
+    return out
+
+
 def brute_kernel(a, b):
-    def spread(w):
-        out = {}
-        for c in toxicity.PATTERNS:
-            for i in range(len(w) - c[-1]):
-                u = w[i] + "".join(w[i + o] for o in c)
-                out[u] = out.get(u, 0) + toxicity.DECAY ** toxicity._skipped(c)
-        return out
+    """The kernel of two words, divided by their norms."""
+    x, y = brute_spread(a), brute_spread(b)
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y.get(u, 0) for u, v in x.items()) / norm if norm else 0.0
+
+
+WORDS = ["idiot", "idxiot", "theron", "pathetic", "ab", "banana", "aaaaaaaaaaaa", "stupidstupidstupidstupidstupidstupidstupidstupid", "hello", "mississippi" * 7]
+
 
-    x, y = spread(a), spread(b)
-    return sum(v * y.get(u, 0) for u, v in x.items())
+def letters_of(words):
+    raw = [w.encode().translate(bytes(toxicity._LETTER)) for w in words]
+    return np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw])
 
 
 def test_folded_weights_are_the_kernel():
-    words = ["idiot", "idxiot", "theron", "pathetic", "pthetic", "stupid"]
-    vocabulary = toxicity.Vocabulary([" ".join(words)])
-    order = [bytes(w.encode().translate(bytes(toxicity._LETTER))) for w in words]
-    ids = [vocabulary.words.index(w) for w in order]
-    for j, b in enumerate(words):
-        rows, slots, values = vocabulary.features(np.array([ids[j]]))
+    letter, sizes = letters_of(WORDS)
+    vocabulary = toxicity.Vocabulary(np.zeros(len(WORDS), np.int64), sizes, letter)
+    for j, b in enumerate(WORDS):
+        rows, slots, values = vocabulary.features(vocabulary.id[[j]])
         weights = np.zeros(1 << toxicity.SLOT_BITS)
         np.add.at(weights, slots, values)
-        got = toxicity.word_scores(vocabulary.letters, weights)
-        norm = toxicity._norm_table(40)
-        want = [brute_kernel(a, b) / norm[len(a)] / norm[len(b)] for a in words]
-        assert np.allclose(got[ids], want, atol=1e-6)
+        assert np.allclose(toxicity.word_values(letter, sizes, weights), [brute_kernel(a, b) for a in WORDS], atol=1e-9)
+
+
+def test_norms_are_exact_in_pieces_and_at_any_length(monkeypatch):
+    letter, sizes = letters_of(WORDS)
+    weights = np.random.default_rng(1).normal(size=1 << toxicity.SLOT_BITS)
+    whole = toxicity.word_values(letter, sizes, weights)
+    monkeypatch.setattr(toxicity, "PIECE", 20)
+    # Words of over 20 letters now go through the sums of all slots.
+    assert np.allclose(toxicity.word_values(letter, sizes, weights), whole, atol=1e-9)
+
+
+def brute_documents(text, weights, bias, value):
+    """The two highest words and the number of words; single letters in a row are a word, inside a sentence, which ends at . ! ? or a line's end."""
+    found = []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
+        run = ""
+        for w in sentence.split():
+            w = "".join(c for c in w.lower() if "a" <= c <= "z")
+            if len(w) == 1:
+                run += w
+                continue
+            found += [run, w] if run else [w]
+            run = ""
+        found += [run] if run else []
+    top = sorted((value(u) + bias for u in found), reverse=True)[:2]
+    return [max(x, toxicity._NOTHING) for x in top] + [toxicity._NOTHING] * (2 - len(top)) + [math.log1p(len(found))]
+
+
+def test_scores_match_brute_force():
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=1 << toxicity.SLOT_BITS)
+    parts = ["the", "idiot", "i", "d", "o", "t", "a", "s", "s", "end.", "why?", "no!\n", "wo-rd", "a1b2c", "hello", "banana", "zzzzzz"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(60)] + ["", None, "a s s", "one"]
+
+    def value(word):
+        letter, sizes = letters_of([word])
+        spread = brute_spread(word)
+        norm = math.sqrt(sum(v * v for v in spread.values()))
+        total = 0.0
+        for own, slot, skipped in toxicity.subsequences(letter, np.zeros(len(letter), np.int64)):
+            total += float(weights[slot].sum()) * toxicity.DECAY**skipped
+        return total / norm if norm else 0.0
+
+    judge = toxicity.Judge(weights, 0.25)
+    want = [brute_documents(t, weights, 0.25, value) for t in texts]
+    for _ in range(2):
+        assert np.allclose(judge.documents(texts), want, atol=1e-9)
 
 
 def test_learns_and_tolerates_gaps():
@@ -53,7 +108,7 @@ def test_learns_and_tolerates_gaps():
     assert ((toxicity.score(new, model) >= 0.5) == truth).mean() > 0.97
     clean = "there thon anle restou. onan thest"
     variants = ("idiot", "IDIOT", "id-i.ot", "idxiot", "i d i o t", "wortthless", "pathetiic", "cllown")
-    top = toxicity.decisions([clean, *[f"{clean} {w} {clean}" for w in variants]], model.weights, model.bias)[:, 0]
+    top = toxicity.Judge(model.weights, model.bias).documents([clean, *[f"{clean} {w} {clean}" for w in variants]])[:, 0]
     assert top[0] < 0 and (top[1:] > 0).all(), top
     assert np.allclose(top[1], top[[2, 3, 5]])
 
@@ -68,7 +123,7 @@ def test_degenerate_training():
 def test_held_out_accuracy(spark, sf):
     from kohesion.llm.queries import op6_toxicity
 
-    sf = sf.replace("sf0.001", "check_s")
+    sf = sf.replace("sf0.001", "sf0.1")
     got = {r["doc_id"]: r for r in op6_toxicity(spark, sf).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None}
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
