@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import warnings
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -71,9 +73,21 @@ def chosen(results: DataFrame, measure: str = "stability", rule: str = "1se", no
     return row
 
 
-def hyper_params(row: Row, columns: tuple[str, ...]) -> dict:
-    """The non-null hyper-parameters of a result row."""
-    return {c: row[c] for c in columns if row[c] is not None}
+#: What the names of result columns that are no parameters begin with.
+_RESULT = ("ari_", "consensus_", "accuracy_", "config_id", "estimator", "method_id")
+
+
+def parameter_columns(columns: Iterable[str]) -> list[str]:
+    """The columns of a result table that are parameters: all that are no identifiers and no metrics."""
+    return [c for c in columns if c != "params" and not c.startswith(_RESULT)]
+
+
+def hyper_params(row: Row) -> dict:
+    """The parameters of a result row, whatever their names, that have a value; ``params`` adds those that have no column."""
+    values = {c: row[c] for c in parameter_columns(row.__fields__)}
+    if "params" in row.__fields__ and row["params"]:
+        values.update(json.loads(row["params"]))
+    return {k: v for k, v in values.items() if v is not None and v == v}
 
 
 def metric_optimum(curve: DataFrame, by: list[str], value: str = "metric_value", k: str = "k") -> DataFrame:

@@ -1,6 +1,6 @@
 """Clusterings of every configuration and resample as one Spark job.
 
-A task is one (configuration, resample): it clusters the two subsamples and the
+For each (configuration, resample) a task clusters the two subsamples and the
 held-out rows, trains the classifier and predicts.  Its kernels hold a
 subsample in memory, so a feature matrix of up to ``BROADCAST_BYTES`` goes to
 the executors once and only ids are shuffled; a larger one is joined to the
@@ -9,8 +9,9 @@ memberships and grouped by task.
 
 from __future__ import annotations
 
+import copy
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -19,14 +20,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohesion.operators.kernels import CLASSIFIERS, CLUSTERERS
-from kohesion.plans.planner import Config, ModePolicy
+from kohesion.plans.planner import GENERALIZABILITY, STABILITY, Config
 
 BROADCAST_BYTES = 256 << 20
 RUN_SCHEMA = "config_id int, resample int, split string, sample_id long, label int, label_pred int"
 _FIELDS = [("config_id", pa.int32()), ("resample", pa.int32()), ("split", pa.string()), ("sample_id", pa.int64()), ("label", pa.int32()), ("label_pred", pa.int32())]
 
 
+def _labels_of(estimator: Any, x: np.ndarray) -> np.ndarray:
+    """The labels that an estimator object finds: ``fit_predict``, else ``fit`` and ``labels_``, else ``predict`` after ``fit``."""
+    if hasattr(estimator, "fit_predict"):
+        return estimator.fit_predict(x)
+    fitted = estimator.fit(x) or estimator
+    return fitted.labels_ if hasattr(fitted, "labels_") else fitted.predict(x)
+
+
+def _with_settings(estimator: Any, settings: Mapping[str, Any], seed: int) -> Any:
+    """A fresh copy of an estimator object with the settings it knows, and the seed if it takes one."""
+    own = copy.deepcopy(estimator)
+    for name, value in {**settings, "random_state": seed}.items():
+        if name != "random_state" or hasattr(own, name):
+            setattr(own, name, value)
+    return own
+
+
 def _clusterer(name: Any) -> Callable:
+    """A function (x, k, params, seed) from a name, a function, a class or an estimator object."""
+    if isinstance(name, type):
+        return lambda x, k, params, seed: _labels_of(_with_settings(name(), {"n_clusters": k, **params}, seed), x)
+    if hasattr(name, "fit") or hasattr(name, "fit_predict"):
+        return lambda x, k, params, seed: _labels_of(_with_settings(name, {"n_clusters": k, **params}, seed), x)
     if callable(name):
         return name
     if name not in CLUSTERERS:
@@ -35,6 +58,14 @@ def _clusterer(name: Any) -> Callable:
 
 
 def _classifier(name: Any) -> Callable:
+    """A function (x, labels, new x, params, seed) from a name, a function or a classifier object, which is copied for every use."""
+    if hasattr(name, "fit") and hasattr(name, "predict"):
+
+        def predict(x, labels, new, params, seed):
+            own = _with_settings(name, params, seed)
+            return (own.fit(x, labels) or own).predict(new)
+
+        return predict
     if callable(name):
         return name
     if name not in CLASSIFIERS:
@@ -42,18 +73,21 @@ def _classifier(name: Any) -> Callable:
     return CLASSIFIERS[name]
 
 
-def validate_task(ids: Mapping[str, np.ndarray], x: Mapping[str, np.ndarray], cluster: Callable, k: int, params: Mapping, classify: Callable, classify_params: Mapping, seed: int, policy: ModePolicy) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(split, ids, labels, predicted labels) of one task's clusterings."""
+def validate_task(ids: Mapping[str, np.ndarray], x: Mapping[str, np.ndarray], cluster: Callable, k: int, params: Mapping, classify: Callable, classify_params: Mapping, seed: int, branches: Collection[str]) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(split, ids, labels, predicted labels) of one configuration's clusterings on one resample."""
     train = np.asarray(cluster(x["train"], k, params, seed))
     out = [("train", ids["train"], train, None)]
-    if policy.run_stability and "stab" in ids:
+    if STABILITY in branches and len(ids.get("stab", ())):
         out.append(("stab", ids["stab"], np.asarray(cluster(x["stab"], k, params, seed)), None))
-    if policy.run_generalizability and len(ids.get("test", ())):
+    if GENERALIZABILITY in branches and len(ids.get("test", ())):
         test = np.asarray(cluster(x["test"], k, params, seed)) if len(ids["test"]) >= k else np.zeros(len(ids["test"]), np.int64)
         out.append(("test", ids["test"], test, np.asarray(classify(x["train"], train, x["test"], classify_params, seed))))
     return out
 
 
+_SPLITS = ("train", "stab", "test")
+
+
 def _rows(config_id: int, resample: int, found) -> pa.RecordBatch:
     n = [len(f[1]) for f in found]
     total = sum(n)
@@ -61,7 +95,7 @@ def _rows(config_id: int, resample: int, found) -> pa.RecordBatch:
     columns = [
         pa.array(np.full(total, config_id, np.int32)),
         pa.array(np.full(total, resample, np.int32)),
-        pa.array(np.repeat([f[0] for f in found], n).tolist(), pa.string()),
+        pa.array(_SPLITS).take(pa.array(np.repeat([_SPLITS.index(f[0]) for f in found], n))),
         pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
         pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)),
         pred,
@@ -73,22 +107,26 @@ def cluster_runs(
     features: DataFrame,
     members: DataFrame,
     configs: Sequence[Config],
-    policy: ModePolicy,
+    branches: Collection[str],
     classifier: Any = "forest",
     classifier_params: Mapping[str, Any] | None = None,
     random_state: int = 0,
     broadcast_bytes: int = BROADCAST_BYTES,
+    n_resamples: int | None = None,
 ) -> DataFrame:
-    """RUNS with ``label_pred``, which held-out rows have."""
+    """RUNS with ``label_pred``, which held-out rows have.
+
+    A task has the ids of one resample and some of the configurations: all of
+    them if ``n_resamples`` keep the cluster busy, fewer if they don't.
+    """
     spark = features.sparkSession
     plan = {c.config_id: (_clusterer(c.estimator), c.n_clusters, dict(c.params)) for c in configs}
     classify, classify_params = _classifier(classifier), dict(classifier_params or {})
     shape = features.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("p")).first()
-    numbers = spark.createDataFrame([(c.config_id,) for c in configs], "config_id int")
 
     def run(config_id: int, resample: int, ids, x) -> pa.RecordBatch:
         cluster, k, params = plan[config_id]
-        return _rows(config_id, resample, validate_task(ids, x, cluster, k, params, classify, classify_params, random_state + resample, policy))
+        return _rows(config_id, resample, validate_task(ids, x, cluster, k, params, classify, classify_params, random_state + resample, branches))
 
     if (shape["n"] or 0) * (shape["p"] or 0) * 8 <= broadcast_bytes:
         # At most broadcast_bytes, checked just above.
@@ -97,20 +135,28 @@ def cluster_runs(
         order = np.argsort(own)
         x = np.asarray(rows.column("x").combine_chunks().flatten(), float).reshape(len(own), -1)[order] if len(own) else np.zeros((0, 1))
         sent = spark.sparkContext.broadcast((own[order], x))
-        splits = members.groupBy("resample", "split").agg(F.sort_array(F.collect_list("sample_id")).alias("ids"))
-        draws = splits.groupBy("resample").agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("splits"))
-        tasks = draws.crossJoin(F.broadcast(numbers))
-        tasks = tasks.repartition(max(1, min(4096, len(configs) * 8)), "config_id", "resample")
+        shares = len(configs) if n_resamples is None else min(len(configs), -(-4 * spark.sparkContext.defaultParallelism // max(n_resamples, 1)))
+        groups = spark.createDataFrame([(g, [c.config_id for c in configs[g::shares]]) for g in range(shares)], "share int, configs array<int>")
+        draws = members.groupBy("resample").agg(*[F.collect_list(F.when(F.col("split") == s, F.col("sample_id"))).alias(s) for s in _SPLITS])
+        tasks = draws.crossJoin(F.broadcast(groups))
+        tasks = tasks.repartition(max(1, min(4096, shares * (n_resamples or 8))), "share", "resample").select("resample", "configs", *_SPLITS)
 
         def from_broadcast(batches):
             known, x = sent.value
             for batch in batches:
-                for task in batch.to_pylist():
-                    ids = {name: np.array(v, np.int64) for name, v in dict(task["splits"]).items()}
-                    yield run(task["config_id"], task["resample"], ids, {s: x[np.searchsorted(known, v)] for s, v in ids.items()})
+                lists = [batch.column(i) for i in range(1, 5)]
+                bounds = [np.asarray(c.offsets) for c in lists]
+                values = [np.asarray(c.values) for c in lists]
+                for i, resample in enumerate(batch.column(0).to_pylist()):
+                    numbers, *parts = [v[b[i] : b[i + 1]] for v, b in zip(values, bounds, strict=True)]
+                    ids = {name: np.sort(v) for name, v in zip(_SPLITS, parts, strict=True) if len(v)}
+                    held = {s: x[np.searchsorted(known, v)] for s, v in ids.items()}
+                    for config_id in numbers.tolist():
+                        yield run(config_id, resample, ids, held)
 
         return tasks.mapInArrow(from_broadcast, RUN_SCHEMA)
 
+    numbers = spark.createDataFrame([(c.config_id,) for c in configs], "config_id int")
     joined = members.join(features, "sample_id").crossJoin(F.broadcast(numbers))
 
     def grouped(table: pa.Table) -> pa.Table:

@@ -8,32 +8,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohesion.functions.consensus import dense_matrix
+from kohesion.functions.consensus import consensus_matrix, dense_matrix
 from kohesion.operators.kernels import align_labels, cut_merges, leaf_order, linkage_merges
 
-#: Samples up to which a consensus matrix is held at once: 8 bytes for each pair.
+#: Samples up to which a consensus matrix, which has a number for each pair, is held at once; linkages need it whole.
 MOST_SAMPLES = 20_000
 
 
-def consensus_distance(pairs: DataFrame, ids: list[int]) -> np.ndarray:
-    """One minus the consensus; 0.5 where a pair was never drawn together."""
+def consensus_distance(consensus: DataFrame, ids: np.ndarray) -> np.ndarray:
+    """One minus the consensus, of runs (resample, sample_id, label) or of pairs (i, j, p); 0.5 where two were never drawn together."""
     if len(ids) > MOST_SAMPLES:
         raise ValueError(f"a consensus matrix of {len(ids)} samples is too large; the limit is {MOST_SAMPLES}")
-    return 1.0 - dense_matrix(pairs, ids)
+    return 1.0 - (consensus_matrix if "resample" in consensus.columns else dense_matrix)(consensus, ids)
 
 
-def consensus_labels(pairs: DataFrame, ids: list[int], k: int, reference: np.ndarray | None = None, clusterer: Callable | None = None) -> np.ndarray:
+def consensus_labels(consensus: DataFrame, ids: np.ndarray, k: int, reference: np.ndarray | None = None, clusterer: Callable | None = None) -> np.ndarray:
     """Average-linkage labels of the consensus distance, or a given clusterer's; renamed after ``reference`` if it has as many classes."""
-    d = consensus_distance(pairs, ids)
+    d = consensus_distance(consensus, ids)
     labels = np.asarray(clusterer(d)) if clusterer else cut_merges(linkage_merges(d, "average"), len(ids), k)
     if reference is not None and len(np.unique(reference)) == len(np.unique(labels)):
         labels = align_labels(np.asarray(reference), labels)
     return labels.astype(np.int32)
 
 
-def consensus_leaf_order(pairs: DataFrame, ids: list[int]) -> list[int]:
+def consensus_leaf_order(consensus: DataFrame, ids: np.ndarray) -> list[int]:
     """The sample ids in dendrogram order."""
-    return [ids[i] for i in leaf_order(consensus_distance(pairs, ids))]
+    return [int(ids[i]) for i in leaf_order(consensus_distance(consensus, ids))]
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, id_col: str, name: str = "cluster") -> DataFrame:

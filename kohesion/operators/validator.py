@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ from kohesion.sources.state import load_state, save_state, settle
 
 log = logging.getLogger(__name__)
 
-PARAM_COLUMNS = ("n_clusters", "linkage", "affinity", "gamma")
-
 
 @dataclass
 class Fitted:
@@ -74,11 +73,11 @@ class Validator:
         if not isinstance(self.estimator_param_grids, str):
             return list(self.estimator_param_grids)
         gammas = [r["gamma"] for r in gamma_grid(knn(x)).orderBy("multiple").collect()] if self.estimator_param_grids == "full" else ()
-        return planner.default_grids(planner.coerce_n_clusters(self.n_clusters), self.estimator_param_grids, gammas)
+        return planner.default_grids(planner.cluster_counts(self.n_clusters), self.estimator_param_grids, gammas)
 
     def fit(self, x: DataFrame, *, reference_labels: Sequence | None = None, randomize_preprocessing: bool = False, mode: str = "default", random_state: int | None = None) -> Validator:
-        policy = planner.resolve_mode(mode)
-        if policy.mode != "default":
+        branches = planner.plan_branches(mode)
+        if mode != "default":
             warnings.warn("modes other than default are experimental", RuntimeWarning, stacklevel=2)
         if self.classifier is not None and self.n_trees != 100:
             warnings.warn("n_trees is ignored with a custom classifier", RuntimeWarning, stacklevel=2)
@@ -95,7 +94,7 @@ class Validator:
         drawn: dict[tuple, list[int]] = {}
         for b in range(self.n_resamples):
             drawn.setdefault(planner.draw_pipeline(norms, reductions, seed + b, randomize_preprocessing), []).append(b)
-        members = settle(sampling.membership(x, self.n_resamples, self.subsample_ratio, seed, second=policy.run_stability))
+        members = settle(sampling.membership(x, self.n_resamples, self.subsample_ratio, seed, second=planner.STABILITY in branches))
         runs, steps = None, []
         for (norm, reduce), resamples in drawn.items():
             table = x
@@ -103,17 +102,18 @@ class Validator:
                 if step.kind != "identity":
                     table = features.apply_step(table, step.kind, dict(step.params))
             own = members if len(drawn) == 1 else members.filter(F.col("resample").isin(resamples))
-            part = clustering.cluster_runs(table, own, configs, policy, self.classifier or "forest", {} if self.classifier else {"n_trees": self.n_trees}, seed)
+            part = clustering.cluster_runs(table, own, configs, branches, self.classifier or "forest", {} if self.classifier else {"n_trees": self.n_trees}, seed, n_resamples=len(resamples))
             runs = part if runs is None else runs.union(part)
             steps += [(b, norm.name, str(dict(norm.params)), reduce.name, str(dict(reduce.params))) for b in resamples]
         runs = settle(runs)
-        self._finish(spark, x, runs, configs, policy, steps, shape["n"], seed)
+        self._finish(spark, x, runs, configs, mode, steps, shape["n"], seed)
         return self
 
-    def _finish(self, spark, x, runs, configs, policy, steps, n, seed) -> None:
+    def _finish(self, spark, x, runs, configs, mode, steps, n, seed) -> None:
+        branches = planner.plan_branches(mode)
         predicted = runs.filter("split = 'test'").select("config_id", "resample", "sample_id", F.col("label").alias("label_true"), "label_pred")
-        stability = agreement.stability_ari(runs) if policy.run_stability else None
-        general = agreement.generalizability_ari(predicted) if policy.run_generalizability else None
+        stability = agreement.stability_ari(runs) if planner.STABILITY in branches else None
+        general = agreement.generalizability_ari(predicted) if planner.GENERALIZABILITY in branches else None
         resample = settle(agreement.resample_scores(stability, general))
         table = clustering.config_table(spark, configs)
         metrics = resample.groupBy("config_id").agg(*[c for m in ("ari_stability", "ari_generalizability", "ari_average") for c in agreement.summary_columns(m, m)])
@@ -121,13 +121,13 @@ class Validator:
         samples, pac = consensus.consensus_scores_blocked(runs.filter("split = 'train'"), n_samples=n)
         samples = settle(samples)
         results = results.join(pac.withColumnRenamed("pac", "consensus_pac_stability"), "config_id", "left").join(consensus.config_scores(samples, F.lit(n)), "config_id", "left")
-        scored = settle(accuracy.sample_accuracy(predicted, x)) if policy.run_generalizability else None
+        scored = settle(accuracy.sample_accuracy(predicted, x)) if planner.GENERALIZABILITY in branches else None
         if scored is None:
             results = results.withColumn("accuracy_generalizability", F.lit(None).cast("double"))
         else:
             results = results.join(accuracy.config_accuracy(scored), "config_id", "left")
         preprocessing = spark.createDataFrame(steps, "resample int, norm_name string, norm_params string, dr_name string, dr_params string")
-        settings = {"n_resamples": self.n_resamples, "subsample_ratio": self.subsample_ratio, "random_state": seed, "mode": policy.mode, "n_samples": n}
+        settings = {"n_resamples": self.n_resamples, "subsample_ratio": self.subsample_ratio, "random_state": seed, "mode": mode, "n_samples": n}
         self.fitted = Fitted(settle(results), resample, runs, samples, scored, preprocessing, x, settings)
         log.info("fitted %d configurations", len(configs))
 
@@ -147,24 +147,26 @@ class Validator:
     def get_estimator(self, measure: str = "stability", rule: str = "1se", not_two: bool = False, k: int | None = None) -> tuple[str, dict]:
         """(estimator, hyper-parameters) of the selected configuration."""
         row = self.get_row(measure, rule, not_two, k)
-        return row["estimator"], selection.hyper_params(row, PARAM_COLUMNS)
+        return row["estimator"], selection.hyper_params(row)
 
     def consensus(self, config_id: int, mode: str = "default") -> DataFrame:
         """Consensus pairs of one configuration, from the subsamples' clusterings or the held-out predictions."""
-        if mode not in planner.MODES:
-            raise ValueError(f"unknown mode {mode!r}; expected one of {', '.join(planner.MODES)}")
+        return consensus.consensus_pairs(self._runs(config_id, mode))
+
+    def _runs(self, config_id: int, mode: str) -> DataFrame:
+        planner.plan_branches(mode)
         fitted = self._ready()
         runs = fitted.runs.filter(F.col("config_id") == config_id)
-        if mode == "generalizability":
+        if mode == planner.GENERALIZABILITY:
             if fitted.prediction_scores is None:
                 raise RuntimeError("this fit has no held-out predictions")
-            return consensus.consensus_pairs(runs.filter("split = 'test'").withColumn("label", F.col("label_pred")))
-        return consensus.consensus_pairs(runs.filter("split = 'train'"))
+            return runs.filter("split = 'test'").withColumn("label", F.col("label_pred"))
+        return runs.filter("split = 'train'")
 
-    def _ids(self) -> list[int]:
+    def _ids(self) -> np.ndarray:
         fitted = self._ready()
         source = fitted.features if fitted.features is not None else fitted.runs
-        return [r["sample_id"] for r in source.select("sample_id").distinct().orderBy("sample_id").collect()]
+        return np.sort(source.select("sample_id").distinct().toArrow().column(0).to_numpy())
 
     def get_labels(self, measure: str = "stability", rule: str = "1se", k: int | None = None, not_two: bool = False, mode: str = "default", estimator: Callable | None = None, reference: Sequence | None = None) -> np.ndarray:
         """Consensus labels by ascending sample id.  Nothing is remembered: the same call gives the same labels."""
@@ -172,12 +174,12 @@ class Validator:
         wanted = reference if reference is not None else self.reference_labels
         if wanted is not None:
             _, first, wanted = np.unique(np.asarray(wanted), return_index=True, return_inverse=True)
-        return labels.consensus_labels(self.consensus(row["config_id"], mode), self._ids(), int(k or row["n_clusters"]), wanted, estimator)
+        return labels.consensus_labels(self._runs(row["config_id"], mode), self._ids(), int(k or row["n_clusters"]), wanted, estimator)
 
     def label_table(self, **options) -> DataFrame:
         found = self.get_labels(**options)
         spark = self._ready().results.sparkSession
-        return spark.createDataFrame([(i, int(v)) for i, v in zip(self._ids(), found, strict=True)], "sample_id long, label int")
+        return spark.createDataFrame(pa.table({"sample_id": self._ids(), "label": found.astype(np.int32)}))
 
     # ------------------------------------------------------------ reports
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kohesion.functions import accuracy, agreement, consensus, features, indices, products, reports, sampling, selection
 from kohesion.operators import clustering, kernels, labels, simulate
-from kohesion.plans.planner import Config, resolve_mode
+from kohesion.plans.planner import Config, plan_branches
 from kohesion.sources import reports as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -610,7 +610,7 @@ def display_names(spark, d):
 def _fit(spark, d, configs, mode="stability", classifier="forest", trees=20) -> DataFrame:
     x = _x(spark, d)
     members = sampling.membership(x, N_RESAMPLES)
-    return clustering.cluster_runs(x, members, configs, resolve_mode(mode), classifier, {"n_trees": trees})
+    return clustering.cluster_runs(x, members, configs, plan_branches(mode), classifier, {"n_trees": trees})
 
 
 @query()
@@ -660,7 +660,7 @@ def leaf_order(spark, d):
 def gap_statistic(spark, d):
     def cluster(x: DataFrame, seed: int) -> DataFrame:
         members = x.select(F.lit(0).cast("int").alias("resample"), F.lit("train").alias("split"), "sample_id")
-        return clustering.cluster_runs(x, members, [Config(0, "kmeans", 4)], resolve_mode("stability"), random_state=seed).select("sample_id", "label")
+        return clustering.cluster_runs(x, members, [Config(0, "kmeans", 4)], plan_branches("stability"), random_state=seed).select("sample_id", "label")
 
     return spark.createDataFrame([(4, indices.gap_statistic(_x(spark, d), cluster, 4, 3))], "k int, gap double")
 

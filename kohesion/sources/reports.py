@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The spellings that count as true.
 TRUE_WORDS = ("true", "t", "1", "1.0", "yes", "y")
 
-RUNTIME_SCHEMA = (
-    "axis_name string, axis_value int, stage string, dataset_iteration int, true_k int, n int, p int, B int, n_jobs int, estimator string, "
-    "t_carve_sec_s double, t_carve_sec_g double, t_carve_per_k_sec_s double, t_carve_per_k_sec_g double"
-)
+#: Columns of a runtime report before its times, whose names the caller gives.
+RUNTIME_COLUMNS = "axis_name string, axis_value int, stage string, dataset_iteration int, true_k int, n int, p int, B int, n_jobs int, estimator string"
 _INTEGERS = ("dataset_iteration", "true_k", "k", "n", "p")
 _BOOLEANS = ("is_optimal", "is_correct")
 
@@ -48,6 +48,11 @@ def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def load_runtimes(spark: SparkSession, path: str, times: Sequence[str]) -> DataFrame:
+    """A runtime report; ``times`` are its columns of seconds, in the file's order."""
+    return load_csv(spark, path, ", ".join([RUNTIME_COLUMNS, *[f"`{t}` double" for t in times]]))
+
+
 def read_block(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """(id, column, value): a matrix file in long form; numbers that can't be read are 0, of repeated ids the first stays.
 

@@ -5,7 +5,7 @@ from kohesion.functions.features import features_from_matrix
 from kohesion.operators import clustering, simulate
 from kohesion.operators.labels import attach_labels, factorize
 from kohesion.operators.validator import Validator
-from kohesion.plans.planner import Config, resolve_mode
+from kohesion.plans.planner import Config, plan_branches
 from kohesion.sources import reports
 from pyspark.sql import functions as F
 
@@ -92,11 +92,11 @@ def test_broadcast_and_grouped_plans_agree(spark, x):
 
     members = membership(x, 2)
     configs = [Config(0, "kmeans", 3), Config(1, "agglomerative", 2, {"linkage": "average"})]
-    a, b = (sorted(map(tuple, clustering.cluster_runs(x, members, configs, resolve_mode("default"), "nearest_centroid", broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    a, b = (sorted(map(tuple, clustering.cluster_runs(x, members, configs, plan_branches("default"), "nearest_centroid", broadcast_bytes=n).collect())) for n in (1 << 20, 0))
     assert a == b and len(a) > 0
     with pytest.raises(ValueError):
-        clustering.cluster_runs(x, members, [Config(0, "other", 2)], resolve_mode("default"))
-    custom = clustering.cluster_runs(x, members, [Config(0, lambda v, k, p, s: np.zeros(len(v), int), 2)], resolve_mode("stability"))
+        clustering.cluster_runs(x, members, [Config(0, "other", 2)], plan_branches("default"))
+    custom = clustering.cluster_runs(x, members, [Config(0, lambda v, k, p, s: np.zeros(len(v), int), 2)], plan_branches("stability"))
     assert custom.select("label").distinct().count() == 1
 
 
@@ -157,10 +157,13 @@ def test_sources(spark, tmp_path):
     assert {r["v"]: r["code"] for r in factorize(named, "v", "p", by_value=True).collect()} == {"b": 1, "a": 0}
 
 
+TIMES = ("seconds_s", "seconds_g", "seconds_per_k_s", "seconds_per_k_g")
+
+
 def test_runtimes(spark, tmp_path):
-    header = ",".join(c.split()[0] for c in reports.RUNTIME_SCHEMA.split(", "))
+    header = ",".join([*(c.split()[0] for c in reports.RUNTIME_COLUMNS.split(", ")), *TIMES])
     (tmp_path / "runtimes.csv").write_text(f"{header}\nsamples,1000,low,0,5,1000,50,20,10,kmeans,2.0,15.0,0.4,3.0\nsamples,1000,low,1,5,1000,50,20,10,kmeans,4.0,17.0,0.8,3.4\n")
     from kohesion.functions.reports import runtime_table
 
-    got = runtime_table(reports.load_csv(spark, f"{tmp_path}/runtimes.csv", reports.RUNTIME_SCHEMA), "axis_value", [1000], {"s": "t_carve_sec_s", "g": "t_carve_sec_g"}).collect()
+    got = runtime_table(reports.load_runtimes(spark, f"{tmp_path}/runtimes.csv", TIMES), "axis_value", [1000], {"s": TIMES[0], "g": TIMES[1]}).collect()
     assert {r["stage"]: r["1000_mean"] for r in got} == {"s": 3.0, "g": 16.0}
