@@ -111,6 +111,25 @@ def top_variable(features: DataFrame, n_top: int, n_bins: int = 20) -> DataFrame
     return binned.select("dim", "dispersion", score.alias("normalised")).orderBy(F.desc_nulls_last("normalised"), "dim").limit(n_top)
 
 
+def top_variable_by_batch(features: DataFrame, batches: DataFrame, n_top: int, n_bins: int = 20) -> DataFrame:
+    """(dim, n_batches, normalised): the dimensions that are among the ``n_top`` of most batches, then those of the highest mean score.
+
+    ``batches`` has (sample_id, batch).  One pass makes the moments of all batches.
+    """
+    from pyspark.sql import Window
+
+    long = features.join(batches, "sample_id").select("batch", F.posexplode("x").alias("dim", "v"))
+    stats = long.groupBy("batch", "dim").agg(F.avg("v").alias("mean"), F.var_samp("v").alias("var"))
+    scored = stats.select("batch", "dim", "mean", F.when(F.col("mean") > 0, F.col("var") / F.col("mean")).alias("dispersion"))
+    scored = scored.withColumn("bin", F.ntile(n_bins).over(Window.partitionBy("batch").orderBy("mean", "dim")))
+    own = Window.partitionBy("batch", "bin")
+    spread = F.stddev_samp("dispersion").over(own)
+    scored = scored.withColumn("score", (F.col("dispersion") - F.avg("dispersion").over(own)) / F.when(spread > 0, spread).otherwise(F.lit(1.0)))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc_nulls_last("score"), "dim"))
+    ranked = scored.withColumn("top", (place <= n_top).cast("int"))
+    return ranked.groupBy("dim").agg(F.sum("top").alias("n_batches"), F.avg("score").alias("normalised")).orderBy(F.desc("n_batches"), F.desc_nulls_last("normalised"), "dim").limit(n_top)
+
+
 def poly_embed(features: DataFrame, degree: int = 2) -> DataFrame:
     """x, its powers, and the product of the first two components."""
     if not isinstance(degree, int) or degree < 1:

@@ -88,6 +88,19 @@ def category_order(df: DataFrame, column: str, by: str = "label") -> DataFrame:
     return sizes.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
+def violin_points(scores: DataFrame, value: str = "score", label: str = "label") -> DataFrame:
+    """(sample_id, label, score, share): every finite score with its rank in its cluster, from 0 to 1."""
+    own = Window.partitionBy(label)
+    known = scores.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    rank = (F.row_number().over(own.orderBy(value, "sample_id")) - 1) / F.greatest(F.count("*").over(own) - 1, F.lit(1))
+    return known.select("sample_id", F.col(label).alias("label"), F.col(value).alias("score"), rank.alias("share"))
+
+
+def cluster_means(scores: DataFrame, value: str = "score", label: str = "label") -> DataFrame:
+    """(label, n, mean) of a scatter's clusters."""
+    return scores.groupBy(F.col(label).alias("label")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
 def projection(features: DataFrame) -> DataFrame:
     """(sample_id, px, py): two principal components; fewer dimensions are padded with zero."""
     from kohesion.functions.features import pca

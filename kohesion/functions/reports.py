@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,52 @@ def baseline_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max("baseline_ari").alias("baseline_ari"))
 
 
+def oracle_rows(rows: DataFrame, level: str, keys: Sequence[str]) -> DataFrame:
+    """The baseline as a method of its own in a regime summary: what the right k reaches, overall and by true_k.
+
+    It picks the true k always, and its distance to itself is 0; ``keys`` tell the datasets.
+    """
+    once = rows.groupBy(level, *keys).agg(F.max("baseline_ari").alias("baseline_ari"), F.first("true_k").alias("k"))
+    detail = F.explode(F.array(F.lit(None).cast("int"), F.col("k").cast("int"))).alias("group_k")
+    agg = once.select(level, "baseline_ari", detail).groupBy(level, "group_k").agg(F.count("*").alias("n"), F.avg("baseline_ari").alias("mean_ari"))
+    return agg.select(level, F.lit("oracle").alias("metric_name"), F.col("group_k").alias("true_k"), "n", F.col("n").alias("n_correct"), "mean_ari", F.lit(0.0).alias("delta"))
+
+
+def select_rows(rows: DataFrame, metrics: Sequence[str] | None = None, optimal: bool = False, true_k: bool = False, axis: str | None = None, value: float | None = None) -> DataFrame:
+    """Rows of some metrics, of the chosen k, of a right k, at an axis value; a condition on a column that isn't there holds for all rows."""
+    have, keep = set(rows.columns), F.lit(True)
+    if metrics is not None:
+        keep = keep & F.col("metric_name").isin(*metrics)
+    if optimal and "is_optimal" in have:
+        keep = keep & F.coalesce(F.col("is_optimal"), F.lit(False))
+    if true_k and {"true_k", "k"} <= have:
+        keep = keep & (F.col("true_k") == F.col("k"))
+    if axis in have:
+        keep = keep & is_close(F.col(axis).cast("double"), F.lit(value))
+    return rows.filter(keep)
+
+
+def metric_names(*tables: DataFrame, column: str = "metric_name") -> DataFrame:
+    """The metrics that any of some tables has."""
+    names = [t.select(column) for t in tables]
+    return reduce(DataFrame.union, names).filter(F.col(column).isNotNull()).distinct()
+
+
+def best_per_curve(curves: DataFrame, by: Sequence[str], method: str, value: str, k: str = "k") -> DataFrame:
+    """The whole curves of each group's best method: the one of the highest value anywhere, the smallest k and then name on ties."""
+    own = Window.partitionBy(*by).orderBy(F.desc_nulls_last(value), F.col(k), F.col(method))
+    best = curves.withColumn("__rn", F.row_number().over(own)).filter((F.col("__rn") == 1) & F.col(value).isNotNull()).select(*by, method)
+    return curves.join(best, [*by, method], "left_semi")
+
+
+def snapshot_summary(rows: DataFrame, level: str, metric: str = "metric_name") -> DataFrame:
+    """(level, metric, n, accuracy, ci_low, ci_high, quartiles and mean of the agreement, mean_baseline of the level's datasets)."""
+    recovered = k_recovery(rows, [level, metric]).select(level, metric, "n", "accuracy", "ci_low", "ci_high")
+    spread = summary_stats(rows, [level, metric], "metric_ari").select(level, metric, "q25", "median", "q75", "mean")
+    base = rows.groupBy(level, "dataset_iteration", "true_k").agg(F.max("baseline_ari").alias("b")).groupBy(level).agg(F.avg("b").alias("mean_baseline"))
+    return recovered.join(spread, [level, metric]).join(base, level)
+
+
 def anchors(rows: DataFrame, column: str) -> list:
     """The three distinct levels, ascending; any other number is an error."""
     values = sorted(r[0] for r in rows.select(column).distinct().limit(4).collect())
@@ -200,9 +247,21 @@ def display_name(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def config_label(estimator: str = "estimator", columns: Sequence[str] = ("n_clusters", "linkage", "affinity", "gamma")) -> Column:
-    """``estimator, p=v, ...`` without the parameters that are null."""
-    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns]
+def short_number(c: Column) -> Column:
+    """A number with three significant digits and no zeros at the end; whole numbers as they are."""
+    digits = F.greatest(F.lit(0), F.lit(2) - F.floor(F.log10(F.abs(c))).cast("int"))
+    scaled = F.pow(F.lit(10.0), digits.cast("double"))
+    fixed = F.regexp_replace(F.format_string("%.9f", F.round(c * scaled) / scaled), r"\.?0+$", "")
+    return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(fixed)
+
+
+def config_label(estimator: str = "estimator", columns: Sequence[str] = ("n_clusters", "linkage", "affinity", "gamma"), types: Mapping[str, str] | None = None, absent: str = "_NA_") -> Column:
+    """``estimator, p=v, ...`` without the parameters that are null, NaN or ``absent``; ``types`` of columns, to shorten numbers with a fraction."""
+    parts = []
+    for c in columns:
+        value, real = F.col(f"`{c}`"), (types or {}).get(c) in ("double", "float")
+        there = value.isNotNull() & (~F.isnan(value) if real else value.cast("string") != absent)
+        parts.append(F.when(there, F.concat(F.lit(f"{c}="), short_number(value) if real else value.cast("string"))))
     return F.concat_ws(", ", F.col(estimator), *parts)
 
 

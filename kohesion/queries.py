@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -374,9 +375,18 @@ def generalizability_scores(spark, d):
     return rounded(accuracy.sample_accuracy(_predicted(spark, d).filter("config_id = 2"), _x(spark, d)))
 
 
-@query()
+_PERMUTATIONS = """perms as (select [cast(t as integer)] as p from range(0, {n}) as r(t) union all select list_append(p, cast(t as integer)) from perms, range(0, {n}) as r(t) where not list_contains(p, cast(t as integer)) and len(p) < {k})"""
+
+
+@query(f"""with recursive {_PERMUTATIONS.format(n=max(KS), k=max(KS))}, {_PRED},
+counts as (select config_id, resample, label_true as t, label_pred as p, count(*) as n from near group by all),
+scored as (select c.config_id, c.resample, m.p, sum(c.n) as n_agree from counts c join perms m on len(m.p) = c.config_id and m.p[c.p + 1] = c.t where list_max(m.p) < c.config_id group by all)
+select config_id, resample, cast(max(n_agree) as bigint) as n_agree from scored group by all""")
 def hungarian_alignment(spark, d):
-    return accuracy.label_mapping(_predicted(spark, d))
+    """How many held-out samples agree after the best renaming, against all permutations."""
+    pred = _predicted(spark, d)
+    named = pred.join(accuracy.label_mapping(pred), ["config_id", "resample", "label_pred"])
+    return named.groupBy("config_id", "resample").agg(F.sum((F.col("label_aligned") == F.col("label_true")).cast("long")).alias("n_agree"))
 
 
 # ---------------------------------------------------------------- selection
@@ -535,9 +545,84 @@ def tolerance_report(spark, d):
     return rounded(reports.tolerance_report(a, b, ["k"], ["p", "c"], {"p": 1000, "c": 0.5}), 3)
 
 
+_MARKED = f"{_BENCH}, marked as (select *, metric_value >= 100000 as is_optimal from bench)"
+
+
+def _marked(spark, d) -> DataFrame:
+    return _bench(spark, d).withColumn("is_optimal", F.col("metric_value") >= 100_000)
+
+
+@query(f"with {_MARKED} select benchmark, metric_name, dataset_iteration, true_k, k, round(metric_value, 6) as metric_value from marked where metric_name in ('1-URGENT', '2-HIGH') and is_optimal and true_k = k and true_k = 3")
+def report_rows(spark, d):
+    """Rows of two metrics, of the chosen k where it is right, at one value of an axis."""
+    rows = reports.select_rows(_marked(spark, d), ["1-URGENT", "2-HIGH"], optimal=True, true_k=True, axis="true_k", value=3.0)
+    return rounded(rows.select("benchmark", "metric_name", "dataset_iteration", "true_k", "k", "metric_value"))
+
+
+@query(f"with {_BENCH} select distinct metric_name from bench where benchmark = 'F' or benchmark = 'O'")
+def metric_union(spark, d):
+    rows = _bench(spark, d)
+    return reports.metric_names(rows.filter("benchmark = 'F'"), rows.filter("benchmark = 'O'"))
+
+
+@query(f"with {_BENCH}, best as (select benchmark, metric_name from bench qualify row_number() over (partition by benchmark order by metric_value desc, k, metric_name) = 1) select b.benchmark, b.metric_name, b.dataset_iteration, b.true_k, b.k, round(b.metric_value, 6) as metric_value from bench b join best using (benchmark, metric_name)")
+def best_method_curves(spark, d):
+    """The whole curves of the method with the highest value of each benchmark."""
+    best = reports.best_per_curve(_bench(spark, d), ["benchmark"], "metric_name", "metric_value")
+    return rounded(best.select("benchmark", "metric_name", "dataset_iteration", "true_k", "k", "metric_value"))
+
+
+@query(f"""with {_BENCH}, g as (select benchmark, metric_name, {_RECOVERY} from bench group by all),
+ci as (select benchmark, metric_name, n, acc, {_LOW} as ci_low, {_HIGH} as ci_high from g),
+q as (select benchmark, metric_name, quantile_cont(metric_ari, 0.25) as q25, quantile_cont(metric_ari, 0.5) as median, quantile_cont(metric_ari, 0.75) as q75, avg(metric_ari) as mean from bench group by all),
+base as (select benchmark, avg(b) as mean_baseline from (select benchmark, dataset_iteration, true_k, max(baseline_ari) as b from bench group by all) group by benchmark)
+select benchmark, metric_name, n, round(acc, 6) as accuracy, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(q25, 6) as q25, round(median, 6) as median, round(q75, 6) as q75, round(mean, 6) as mean, round(mean_baseline, 6) as mean_baseline from ci join q using (benchmark, metric_name) join base using (benchmark)""")
+def snapshot_summary(spark, d):
+    return rounded(reports.snapshot_summary(_bench(spark, d), "benchmark"))
+
+
+@query(f"""with {_BENCH}, once as (select benchmark, dataset_iteration, true_k, max(baseline_ari) as b from bench group by all),
+both_k as (select benchmark, b, unnest([null, true_k]) as true_k from once)
+select benchmark, 'oracle' as metric_name, true_k, count(*) as n, count(*) as n_correct, round(avg(b), 6) as mean_ari, 0.0::double as delta from both_k group by benchmark, true_k""")
+def regime_oracle(spark, d):
+    """The baseline as a method of its own, overall and by the true k."""
+    return rounded(reports.oracle_rows(_bench(spark, d), "benchmark", ["dataset_iteration", "true_k"]))
+
+
 # ---------------------------------------------------------------- plot data
 
 
+@query("select doc_id as sample_id, lang as label, cast(n_chars as double) as score, round((row_number() over (partition by lang order by n_chars, doc_id) - 1) / cast(greatest(count(*) over (partition by lang) - 1, 1) as double), 6) as share from documents where n_chars is not null")
+def violin_points(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("label"), F.col("n_chars").cast("double").alias("score"))
+    return rounded(products.violin_points(docs))
+
+
+@query("select lang as label, count(n_chars) as n, round(avg(n_chars), 4) as mean from documents group by lang")
+def scatter_means(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("label"), F.col("n_chars").cast("double").alias("score"))
+    return rounded(products.cluster_means(docs), 4)
+
+
+@query("select p_partkey, p_type || ', p_size=' || p_size || ', p_retailprice=' || case when p_retailprice = floor(p_retailprice) then cast(cast(p_retailprice as bigint) as varchar) when p_retailprice >= 100 then cast(cast(floor(p_retailprice + 0.5) as bigint) as varchar) else cast(round(p_retailprice, 1) as varchar) end as name from part")
+def config_labels(spark, d):
+    """Labels of configurations, with three significant digits."""
+    part = table(spark, d, "part")
+    return part.select("p_partkey", reports.config_label("p_type", ["p_size", "p_retailprice"], dict(part.dtypes)).alias("name"))
+
+
+@query(f"""with {_FEAT}, st as (select truth as batch, d - 1 as dim, avg(v) as mean, case when avg(v) > 0 then var_samp(v) / avg(v) end as disp from (select truth, d, 3 + asinh(x[d]) as v from feat, range(1, 65) as r(d) where truth is not null) group by truth, d),
+bins as (select *, ntile(5) over (partition by batch order by mean, dim) as bin from st),
+sc as (select batch, dim, (disp - avg(disp) over (partition by batch, bin)) / case when stddev_samp(disp) over (partition by batch, bin) > 0 then stddev_samp(disp) over (partition by batch, bin) else 1 end as score from bins),
+rk as (select batch, dim, score, row_number() over (partition by batch order by score desc nulls last, dim) <= 10 as top from sc)
+select cast(dim as integer) as dim, cast(count(*) filter (top) as bigint) as n_batches, round(avg(score), 6) as normalised from rk group by dim order by n_batches desc, normalised desc, dim limit 10""")
+def variable_dimensions_by_batch(spark, d):
+    """The dimensions that are most variable in most batches."""
+    e = table(spark, d, "embeddings")
+    wide = _x(spark, d).select("sample_id", F.transform("x", lambda v: F.lit(3.0) + F.asinh(v)).alias("x"))
+    return rounded(features.top_variable_by_batch(wide, e.select(F.col("vec_id").alias("sample_id"), F.col("label").alias("batch")).filter("label is not null"), 10, 5))
+
+
 @query(f"with {_RESULTS} select 'm0' as method, 'voronoi, n_clusters=' || n_clusters as label, n_clusters, round(ari_stability, 6) as value, round(ari_stability_se, 6) as se, round(ari_stability_upper, 6) as upper, round(ari_stability_lower, 6) as lower from results")
 def metric_over_k(spark, d):
     from kohesion.functions.reports import config_label
@@ -583,11 +668,12 @@ def factorize_first_seen(spark, d):
     return labels.factorize(docs, "source", "doc_id").select("doc_id", F.col("code").cast("long").alias("code"))
 
 
-@query(f"with {_RUNS}, c as (select config_id, resample, split, count(distinct label) as n_labels from runs group by all) select config_id, resample, split, n_labels, config_id as n_clusters from c where n_labels <> config_id")
+@query(f"with {_RUNS}, c as (select config_id, resample, split, count(distinct label % 3) as n_labels from runs group by all) select config_id, resample, split, n_labels, config_id as n_clusters from c where n_labels <> config_id")
 def label_count_warnings(spark, d):
-    """Runs that found another number of cells than asked for."""
+    """Runs that found another number of clusters than asked for: a clusterer that never finds more than three."""
     configs = spark.createDataFrame([(k, k) for k in KS], "config_id int, n_clusters int")
-    return agreement.label_count_warnings(_voronoi(spark, d), configs).select("config_id", "resample", "split", "n_labels", "n_clusters")
+    runs = _voronoi(spark, d).withColumn("label", F.pmod("label", F.lit(3)))
+    return agreement.label_count_warnings(runs, configs).select("config_id", "resample", "split", "n_labels", "n_clusters")
 
 
 @query("select cast(dim - 1 as integer) as dim, round(v, 6) as v from (select d as dim, (avg(x) over (partition by d)) as v, row_number() over (partition by d order by vec_id) as rn from (select vec_id, d, cast(embedding[d] as double) as x from embeddings, range(1, 65) as t(d))) where rn = 1")
@@ -623,9 +709,64 @@ def ward_labels(spark, d):
     return _fit(spark, d, [Config(0, "agglomerative", 10, {"linkage": "ward"})]).drop("label_pred")
 
 
-@query()
+def _supplier(spark, d) -> DataFrame:
+    return features.features_from_columns(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"])
+
+
+#: The height of a merge of two clusters by the distances between their rows; Ward's is the rise of the sum of squares.
+LINKAGES = {"average": "avg(d.d)", "complete": "max(d.d)", "single": "min(d.d)", "ward": "s.n * t.n / cast(s.n + t.n as double) * ((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y))"}
+_POINTS = "points as (select row_number() over (order by s_suppkey) - 1 as i, s_suppkey as sample_id, cast(s_acctbal as double) as x, cast(s_nationkey as double) as y from supplier), dist as (select a.i as i, b.i as j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from points a, points b)"
+
+
+def _linkage(name: str, stop: str = "4") -> str:
+    """A CTE of agglomerative clustering, merge by merge, down to ``stop`` clusters; ``pos`` is a row's place in its cluster's leaf order."""
+    if name == "ward":
+        means = "(select g.c, count(*) as n, avg(p.x) as x, avg(p.y) as y from grow_ward g join points p on p.i = g.i group by g.c)"
+        best = f"select s.c as a, t.c as b, s.n from {means} s, {means} t where s.c < t.c order by {LINKAGES[name]}, s.c, t.c limit 1"
+    else:
+        best = f"select s.c as a, t.c as b, count(distinct s.i) as n from grow_{name} s join dist d on d.i = s.i join grow_{name} t on t.i = d.j where s.c < t.c group by s.c, t.c order by {LINKAGES[name]}, s.c, t.c limit 1"
+    return f"""grow_{name}(it, i, c, pos) as (
+  select 0, i, i, 0::bigint from points
+  union all
+  select g.it + 1, g.i, case when g.c = m.b then m.a else g.c end, case when g.c = m.b then g.pos + m.n else g.pos end
+  from grow_{name} g, ({best}) m where g.it < (select count(*) from points) - {stop})"""
+
+
+def _last(name: str) -> str:
+    return f"(select * from grow_{name} where it = (select max(it) from grow_{name}))"
+
+
+@query("with recursive " + _POINTS + ", " + ", ".join(_linkage(m) for m in LINKAGES) + " " + " union all ".join(f"select '{m}' as linkage, p.sample_id, cast(dense_rank() over (order by g.c) - 1 as integer) as label from {_last(m)} g join points p on p.i = g.i" for m in LINKAGES))
 def linkage_labels(spark, d):
-    return _fit(spark, d, [Config(i, "agglomerative", 4, {"linkage": m}) for i, m in enumerate(("average", "single", "complete"))]).drop("label_pred")
+    """Agglomerative clusterings of the suppliers by four linkages."""
+    from kohesion.operators import benchmark
+
+    configs = [Config(i, "agglomerative", 4, {"linkage": m}) for i, m in enumerate(LINKAGES)]
+    found = benchmark.full_labels(_supplier(spark, d), configs)
+    names = F.array(*[F.lit(m) for m in LINKAGES])
+    return found.select(F.element_at(names, F.col("config_id") + 1).alias("linkage"), "sample_id", "label")
+
+
+LLOYD_K, LLOYD_ROUNDS = 5, 4
+
+
+def _lloyd() -> str:
+    """CTEs of Lloyd's algorithm from the first rows by id."""
+    parts = [_FEAT, f"c0 as (select row_number() over (order by sample_id) - 1 as c, x from feat qualify row_number() over (order by sample_id) <= {LLOYD_K})"]
+    for r in range(LLOYD_ROUNDS + 1):
+        parts.append(f"a{r} as (select f.sample_id, any_value(f.x) as x, arg_min(c.c, {{'d': list_distance(f.x, c.x), 'c': c.c}}) as c from feat f, c{r} c group by f.sample_id)")
+        if r < LLOYD_ROUNDS:
+            parts.append(f"c{r + 1} as (select c, list(v order by d) as x from (select c, d, avg(x[d]) as v from a{r}, range(1, 65) as t(d) group by c, d) group by c)")
+    return ", ".join(parts)
+
+
+@query(f"with {_lloyd()} select sample_id, cast(c as integer) as label from a{LLOYD_ROUNDS}")
+def kmeans_lloyd(spark, d):
+    """K-means of the embeddings from given seeds, a given number of rounds."""
+    from kohesion.operators import benchmark
+
+    config = Config(0, "kmeans", LLOYD_K, {"init": list(range(LLOYD_K)), "max_iter": LLOYD_ROUNDS, "tol": 0.0})
+    return benchmark.full_labels(_x(spark, d), [config]).select("sample_id", "label")
 
 
 @query()
@@ -648,26 +789,63 @@ def consensus_labels(spark, d):
     return spark.createDataFrame([(i, int(v)) for i, v in zip(ids, found, strict=True)], "sample_id long, label int")
 
 
-@query()
+@query("with recursive " + _POINTS + ", " + _linkage("average", "1") + f" select cast(g.pos as integer) as position, p.sample_id from {_last('average')} g join points p on p.i = g.i")
 def leaf_order(spark, d):
-    runs = _train(spark, d).filter("config_id = 3")
-    ids = [r["sample_id"] for r in _x(spark, d).select("sample_id").orderBy("sample_id").collect()]
-    order = labels.consensus_leaf_order(consensus.consensus_pairs(runs), ids)
-    return spark.createDataFrame([(p, s) for p, s in enumerate(order)], "position int, sample_id long")
+    """The suppliers in the dendrogram order of average linkage."""
+    from kohesion.operators.benchmark import _matrix
 
+    ids, x = _matrix(_supplier(spark, d))
+    order = kernels.leaf_order(np.sqrt(kernels.squared_distances(x, x)))
+    return spark.createDataFrame([(p, int(ids[i])) for p, i in enumerate(order)], "position int, sample_id long")
+
+
+def _nearest_of_first(k: int):
+    """A clusterer for gap statistics: the nearest of the first ``k`` rows by id."""
 
-@query()
-def gap_statistic(spark, d):
     def cluster(x: DataFrame, seed: int) -> DataFrame:
-        members = x.select(F.lit(0).cast("int").alias("resample"), F.lit("train").alias("split"), "sample_id")
-        return clustering.cluster_runs(x, members, [Config(0, "kmeans", 4)], plan_branches("stability"), random_state=seed).select("sample_id", "label")
+        first = x.orderBy("sample_id").limit(k)
+        seeds = first.agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_id", "x"))), lambda s: s["x"]).alias("seeds"))
+        near = F.transform("seeds", lambda s: features.squared_distance("x", s))
+        return x.crossJoin(F.broadcast(seeds)).select("sample_id", (F.array_position(near, F.array_min(near)) - 1).cast("int").alias("label"))
 
-    return spark.createDataFrame([(4, indices.gap_statistic(_x(spark, d), cluster, 4, 3))], "k int, gap double")
+    return cluster
 
 
-@query()
+_GAP_K, _GAP_NULL = 4, 10
+
+
+@query(f"""with {_FEAT}, box as (select d, min(x[d]) as lo, max(x[d]) as hi from feat, range(1, 65) as r(d) group by d),
+cell as (select b, f.sample_id, d, lo + (hi - lo) * (cast('0x' || substr(md5(b || ':' || f.sample_id || ':' || (d - 1)), 1, 13) as bigint) / cast(4503599627370496 as double)) as v from feat f, box, range(0, {_GAP_NULL}) as t(b)),
+sets as (select b, sample_id, list(v order by d) as x from cell group by b, sample_id union all select -1, sample_id, x from feat),
+firsts as (select b, sample_id, x, row_number() over (partition by b order by sample_id) as c from sets qualify c <= {_GAP_K}),
+near as (select s.b, s.sample_id, any_value(s.x) as x, arg_min(f.c, {{'d': list_distance(s.x, f.x), 'c': f.c}}) as c from sets s join firsts f using (b) group by s.b, s.sample_id),
+w as (select b, ln(sum(t)) as w from (select b, c, d, count(*) * var_pop(x[d]) as t from near, range(1, 65) as r(d) group by b, c, d) group by b)
+select {_GAP_K} as k, round((select avg(w) from w where b >= 0) - (select w from w where b = -1), 6) as gap""")
+def gap_statistic(spark, d):
+    """The gap of a clusterer that both engines have, over ten null tables."""
+    return rounded(spark.createDataFrame([(_GAP_K, indices.gap_statistic(_x(spark, d), _nearest_of_first(_GAP_K), _GAP_K, _GAP_NULL))], "k int, gap double"))
+
+
+_PART3 = "raw as (select p_partkey as sample_id, cast(p_size as double) * 20 as a, cast(p_retailprice as double) as b, cast(p_partkey as double) as c from part), cen as (select sample_id, a - avg(a) over () as a, b - avg(b) over () as b, c - avg(c) over () as c from raw)"
+
+
+def _power(name: str, matrix: str) -> str:
+    """CTEs of the first eigenvector of a symmetric matrix (xx, xy, xz, yy, yz, zz) by power iteration."""
+    return f"""{name}_it(it, x, y, z) as (select 0, 1.0::double, 0.7::double, 0.4::double union all
+  select it + 1, u / r, v / r, w / r from (select it, u, v, w, sqrt(u * u + v * v + w * w) as r from (select it, xx * x + xy * y + xz * z as u, xy * x + yy * y + yz * z as v, xz * x + yz * y + zz * z as w from {name}_it, {matrix}) ) where it < 400),
+{name} as (select x, y, z from {name}_it where it = 400)"""
+
+
+@query(f"""with recursive {_PART3}, m as (select sum(a * a) as xx, sum(a * b) as xy, sum(a * c) as xz, sum(b * b) as yy, sum(b * c) as yz, sum(c * c) as zz from cen),
+{_power("e1", "m")}, l1 as (select xx * x * x + yy * y * y + zz * z * z + 2 * (xy * x * y + xz * x * z + yz * y * z) as l from m, e1),
+m2 as (select xx - l * x * x as xx, xy - l * x * y as xy, xz - l * x * z as xz, yy - l * y * y as yy, yz - l * y * z as yz, zz - l * z * z as zz from m, e1, l1),
+{_power("e2", "m2")}
+select sample_id, round(abs(a * e1.x + b * e1.y + c * e1.z), 3) as px, round(abs(a * e2.x + b * e2.y + c * e2.z), 3) as py from cen, e1, e2""")
 def pca_projection(spark, d):
-    return rounded(products.projection(_x(spark, d)))
+    """Two principal components of three part columns, without their signs."""
+    own = table(spark, d, "part").select("p_partkey", (F.col("p_size").cast("double") * 20).alias("a"), "p_retailprice", F.col("p_partkey").alias("c"))
+    flat = products.projection(features.features_from_columns(own, "p_partkey", ["a", "p_retailprice", "c"]))
+    return rounded(flat.select("sample_id", F.abs("px").alias("px"), F.abs("py").alias("py")), 3)
 
 
 @query()
@@ -675,21 +853,29 @@ def simulate_clusters(spark, d):
     return rounded(simulate.simulate_clusters(spark, 1000, 4, 8, distribution=["gaussian", "t", "uniform_ball", "moons"], outliers=0.02, corr="ar1", rho=0.5, noise_dims=2).select("sample_id", "label", F.col("x")[0].alias("x0")))
 
 
-@query()
+@query(f"""with recursive {_PERMUTATIONS.format(n=10, k=4)}, {_CELLS}, counts as (select cluster, truth, count(*) as n from cells where truth is not null group by all),
+scored as (select m.p, sum(n) as s from counts c join perms m on len(m.p) = 4 and m.p[c.cluster + 1] = c.truth group by m.p) select cast(max(s) as bigint) as n_agree, cast((select sum(n) from counts) as bigint) as n from scored""")
 def align_reference(spark, d):
-    cells = _cells(spark, d).orderBy("sample_id").toPandas()
+    """How many samples agree with the reference after the best renaming, against all choices of classes."""
+    cells = _cells(spark, d).filter("truth is not null").orderBy("sample_id").select("cluster", "truth").toPandas()
     out = kernels.align_labels(cells["truth"].to_numpy(), cells["cluster"].to_numpy())
-    return spark.createDataFrame([(int(i), int(v)) for i, v in zip(cells["sample_id"], out, strict=True)], "sample_id long, aligned int")
+    return spark.createDataFrame([(int((out == cells["truth"].to_numpy()).sum()), len(cells))], "n_agree long, n long")
 
 
-@query()
+@query(f"""with {_FEAT}, box as (select d, min(x[d]) as lo, max(x[d]) as hi from feat, range(1, 65) as r(d) group by d)
+select f.sample_id, cast(d - 1 as integer) as dim, round(lo + (hi - lo) * (cast('0x' || substr(md5('0:' || f.sample_id || ':' || (d - 1)), 1, 13) as bigint) / cast(4503599627370496 as double)), 6) as v from feat f, box""")
 def null_box_features(spark, d):
-    return rounded(sampling.null_box(_x(spark, d)).select("sample_id", F.col("x")[0].alias("x0")))
+    return rounded(sampling.null_box(_x(spark, d)).select("sample_id", F.posexplode("x").alias("dim", "v")))
 
 
-@query()
+@query(f"""with {_FEAT}, st as (select d - 1 as dim, avg(v) as mean, case when avg(v) > 0 then var_samp(v) / avg(v) end as dispersion from (select d, 3 + asinh(x[d]) as v from feat, range(1, 65) as r(d)) group by d),
+bins as (select *, ntile(5) over (order by mean, dim) as bin from st),
+sc as (select dim, dispersion, (dispersion - avg(dispersion) over (partition by bin)) / case when stddev_samp(dispersion) over (partition by bin) > 0 then stddev_samp(dispersion) over (partition by bin) else 1 end as normalised from bins)
+select cast(dim as integer) as dim, round(dispersion, 6) as dispersion, round(normalised, 6) as normalised from sc order by normalised desc nulls last, dim limit 10""")
 def variable_dimensions(spark, d):
-    return rounded(features.top_variable(features.asinh(_part(spark, d)), 2, 1))
+    """The ten most variable of all dimensions, relative to those of like mean."""
+    wide = _x(spark, d).select("sample_id", F.transform("x", lambda v: F.lit(3.0) + F.asinh(v)).alias("x"))
+    return rounded(features.top_variable(wide, 10, 5))
 
 
 @query()
@@ -702,18 +888,44 @@ def validator_results(spark, d):
     return rounded(fit.fitted.results)
 
 
-@query()
+def nearest_of_first(x: np.ndarray, k: int, params, seed: int) -> np.ndarray:
+    """A clusterer that both engines have: the nearest of the first ``k`` rows."""
+    return kernels.squared_distances(x, x[:k]).argmin(1)
+
+
+def _curves() -> str:
+    parts = [_FEAT, "firsts as (select row_number() over (order by sample_id) as c, x from feat qualify c <= 4)"]
+    parts.append("lab as (select t.k, f.sample_id, any_value(f.x) as x, arg_min(s.c, {'d': list_distance(f.x, s.x), 'c': s.c}) as c from feat f, firsts s, range(2, 5) as t(k) where s.c <= t.k group by t.k, f.sample_id)")
+    parts.append("dims as (select k, c, d, avg(x[d]) as m, count(*) as n, count(*) * var_pop(x[d]) as w from lab, range(1, 65) as r(d) group by k, c, d)")
+    parts.append("cen as (select k, c, list(m order by d) as m, any_value(n) as n, sum(w) as w from dims group by k, c)")
+    parts.append("total as (select sum(t) as t from (select count(*) * var_pop(x[d]) as t from feat, range(1, 65) as r(d) group by d))")
+    parts.append("ch as (select k, (t - sum(w)) / sum(w) * (sum(n) - count(*)) / (count(*) - 1) as v from cen, total group by k, t)")
+    parts.append("spread as (select l.k, l.c, avg(list_distance(l.x, e.m)) as s from lab l join cen e using (k, c) group by l.k, l.c)")
+    parts.append("cs as (select k, c, m, s from cen join spread using (k, c))")
+    parts.append("db as (select k, 1 / (1 + avg(r)) as v from (select a.k, a.c, max((a.s + b.s) / list_distance(a.m, b.m)) as r from cs a join cs b on a.k = b.k and a.c <> b.c group by a.k, a.c) group by k)")
+    parts.append("ds as (select a.k, a.sample_id, a.c, b.c as other, sum(list_distance(a.x, b.x)) as d, count(*) as n from lab a join lab b using (k) group by all)")
+    parts.append("ab as (select k, sample_id, max(case when c = other and n > 1 then d / (n - 1) end) as a, min(case when c <> other then d / n end) as b from ds group by k, sample_id)")
+    parts.append("si as (select k, avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) as v from ab group by k)")
+    parts.append("curves as (select cast(k - 2 as integer) as config_id, 'nearest_of_first' as model, cast(k as integer) as k, metric_name, round(v, 6) as metric_value from (select k, v, 'calinski_harabasz' as metric_name from ch union all select k, v, 'davies_bouldin_inverted' from db union all select k, v, 'silhouette' from si))")
+    return ", ".join(parts)
+
+
+_GRID = [(nearest_of_first, {"n_clusters": [2, 3, 4]})]
+_CURVE_METRICS = ("silhouette", "calinski_harabasz", "davies_bouldin_inverted")
+
+
+@query(f"with {_curves()} select * from curves")
 def baseline_curves(spark, d):
     from kohesion.operators import benchmark
 
-    return rounded(benchmark.baseline_curves(_x(spark, d), [("kmeans", {"n_clusters": [2, 3, 4]})], n_null=2))
+    return rounded(benchmark.baseline_curves(_x(spark, d), _GRID, _CURVE_METRICS))
 
 
-@query()
+@query(f"with {_curves()} select * from curves qualify row_number() over (partition by metric_name order by metric_value desc, k) = 1")
 def baseline_best(spark, d):
     from kohesion.operators import benchmark
 
-    return rounded(benchmark.baseline_best(benchmark.baseline_curves(_x(spark, d), [("kmeans", {"n_clusters": [2, 3, 4]})], ("silhouette", "calinski_harabasz"))))
+    return rounded(benchmark.baseline_best(benchmark.baseline_curves(_x(spark, d), _GRID, _CURVE_METRICS)))
 
 
 def queries() -> dict[str, Query]:

@@ -83,3 +83,9 @@ def write_once(df: DataFrame, path: str) -> DataFrame:
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         df.write.option("header", True).mode("errorifexists").csv(path)
     return spark.read.schema(df.schema).option("header", True).csv(path)
+
+
+def write_comparison(results: DataFrame, selections: DataFrame, path: str, name: str) -> None:
+    """The metrics and the selections of a fit as ``metrics_<name>`` and ``selection_<name>`` CSV folders, for a comparison by other tools."""
+    for kind, df in (("metrics", results), ("selection", selections)):
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{kind}_{name}")

@@ -73,6 +73,21 @@ def test_consensus_scores(spark):
     assert consensus.config_scores(few, 4).first()["consensus_gini_stability"] is None
 
 
+def test_both_plans_take_any_labels(spark):
+    """A clusterer may call noise -1."""
+    rng = np.random.default_rng(3)
+    rows = [(0, b, "train", int(i), int(rng.choice([-1, 4, 900]))) for b in range(6) for i in rng.choice(20, 12, replace=False)]
+    own = spark.createDataFrame(rows, "config_id int, resample int, split string, sample_id long, label int")
+    pairs_of = consensus.consensus_pairs(own)
+    want = {r["sample_id"]: (r["gini"], r["ce"]) for r in consensus.sample_stability(pairs_of).collect()}
+    samples, pac = consensus.consensus_scores_blocked(own, 7)
+    got = {r["sample_id"]: (r["gini"], r["ce"]) for r in samples.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    assert pac.first()["pac"] == pytest.approx(consensus.pac_score(pairs_of).first()["pac"])
+    ids = np.arange(20)
+    assert np.allclose(consensus.consensus_matrix(own, ids, block=6), consensus.dense_matrix(pairs_of, ids))
+
+
 def test_block_plan_equals_pairs(spark):
     rng = np.random.default_rng(0)
     own = runs(spark, *[(sorted(rng.choice(60, 37, replace=False).tolist()), rng.integers(0, 3, 37).tolist()) for _ in range(6)])

@@ -5,6 +5,7 @@ from kohesion.functions.features import features_from_matrix
 from kohesion.operators import clustering, simulate
 from kohesion.operators.labels import attach_labels, factorize
 from kohesion.operators.validator import Validator
+from kohesion.functions import selection
 from kohesion.plans.planner import Config, plan_branches
 from kohesion.sources import reports
 from pyspark.sql import functions as F
@@ -157,6 +158,43 @@ def test_sources(spark, tmp_path):
     assert {r["v"]: r["code"] for r in factorize(named, "v", "p", by_value=True).collect()} == {"b": 1, "a": 0}
 
 
+def test_estimator_objects(spark):
+    class Halves:
+        """A clusterer in the manner of other libraries."""
+
+        def __init__(self, n_clusters=2, shift=0.0):
+            self.n_clusters, self.shift, self.random_state = n_clusters, shift, None
+
+        def fit(self, x):
+            cuts = np.quantile(x[:, 0], np.linspace(0, 1, self.n_clusters + 1)[1:-1])
+            self.labels_ = np.searchsorted(cuts, x[:, 0] + self.shift)
+            return self
+
+    class Nearest:
+        """A classifier object; it must be copied for every use."""
+
+        def __init__(self):
+            self.used, self.random_state = 0, None
+
+        def fit(self, x, y):
+            assert self.used == 0
+            self.used, self.x, self.y = 1, x, y
+
+        def predict(self, new):
+            return self.y[((new[:, None] - self.x[None]) ** 2).sum(2).argmin(1)]
+
+    from kohesion.functions.features import features_from_matrix
+
+    x = features_from_matrix(spark, np.random.default_rng(0).normal(size=(60, 3)))
+    grids = [(Halves(), {"n_clusters": [2, 3], "shift": [0.0]}), (Halves, {"n_clusters": [2, 3]})]
+    fit = Validator(n_resamples=4, estimator_param_grids=grids, classifier=Nearest()).fit(x)
+    rows = fit.fitted.results.orderBy("config_id").collect()
+    assert len(rows) == 4 and all(r["ari_generalizability"] is not None for r in rows)
+    # Parameters of any name come back.
+    assert selection.hyper_params(rows[0]) == {"n_clusters": 2, "shift": 0.0}
+    assert fit.get_estimator(rule="max")[1]["n_clusters"] in (2, 3)
+
+
 TIMES = ("seconds_s", "seconds_g", "seconds_per_k_s", "seconds_per_k_g")
 
 
