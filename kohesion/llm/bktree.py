@@ -48,20 +48,26 @@ class Forest:
         self.edges = edges[order]
         self.children = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
 
-    def connect(self, radius: int) -> np.ndarray:
+    def connect(self, radius: int, accept=None) -> np.ndarray:
         """For each point the smallest index among those that links within the radius reach.
 
         Queries go in rounds that double.  Between rounds, subtrees whose points
         all have one label are marked, and a query with that label doesn't enter
         them: nothing new is there.  So a dense group of points, which is one
         class after the first round, isn't compared pair by pair.
+
+        With ``accept``, a pair within the radius links only if ``accept(a, b)``; pairs
+        of one class aren't asked for, and the first round has one query of each tree.
         """
         label = np.arange(len(self.values))
-        start, width = 0, ROUND
+        start, width = 0, 1 if accept else ROUND
         while len(query := np.flatnonzero((self.place >= start) & (self.place < start + width))):
             known = self._uniform(label) if start else None
             for a, b in self.search(radius, query, known):
-                merge(label, a, b)
+                if accept is None:
+                    merge(label, a, b)
+                else:
+                    _merge_accepted(label, a, b, accept)
             start, width = start + width, 2 * width
         return label
 
@@ -114,3 +120,30 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             if (up == label).all():
                 break
             label[:] = up
+
+
+#: Pairs between which classes are brought up to date.
+_BLOCK = 1024
+
+
+def _merge_accepted(label: np.ndarray, a: np.ndarray, b: np.ndarray, accept) -> None:
+    """Merges the classes of those pairs that differ in class and are accepted."""
+    for start in range(0, len(a), _BLOCK):
+        x, y = a[start : start + _BLOCK], b[start : start + _BLOCK]
+        differ = label[x] != label[y]
+        x, y = x[differ], y[differ]
+        joined: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            i = int(label[i])
+            while i in joined:
+                i = joined[i]
+            return i
+
+        some = []
+        for i, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            one, other = root(p), root(q)
+            if one != other and accept(p, q):
+                joined[max(one, other)] = min(one, other)
+                some.append(i)
+        merge(label, x[some], y[some])

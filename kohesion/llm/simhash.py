@@ -1,22 +1,24 @@
 """SimHash near-duplicate detection with Burkhard-Keller trees.
 
 Every text gets a 64-bit fingerprint.  Equal fingerprints are one point, so
-copies cost nothing further.  Points are dealt to shards by exact agreement of
-bit blocks: with ``blocks`` blocks, two fingerprints within ``radius`` bits
-agree on at least ``blocks - radius`` of them, so each such choice of blocks is
-a shard key and no pair within the radius is missed.  Every shard has its own
-BK-tree, which is built where the shard's rows are; trees are not collected for
-a broadcast, as together they hold all fingerprints.  A shard reports a
-spanning forest of its links, never its pairs, and the forests are joined by
-:func:`connected_components`.
-
-One 64-bit fingerprint of two texts that share 0.8 of their shingles differs in
-some ten bits, more than a selective shard key allows.  With several ``bands``
-every text has as many fingerprints, each searched by itself, and two texts are
-candidates if one of them is near.  With ``reach`` the trees are searched further
-than ``radius``, which then only sets the shards: a pair further apart than
-``radius`` is found if its differing bits leave enough blocks whole.  Such
-candidates are reported as pairs, and :func:`verified` compares their shingle sets.
+copies cost nothing further.  Points are dealt to shards, and every shard has
+its own BK-tree, which is built where the shard's rows are; trees are not
+collected for a broadcast, as together they hold all fingerprints.  A shard
+reports a spanning forest of its links, never its pairs, and the forests are
+joined by :func:`connected_components`.
+
+Shards are cut in two ways.  :func:`simhash_components` links fingerprints within
+a few bits and deals by exact agreement of bit blocks: with ``blocks`` blocks, two
+fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of them, so
+each such choice of blocks is a shard key and no pair within the radius is missed.
+
+Texts that share 0.8 of their shingles differ in some ten bits, more than a
+selective choice of blocks allows.  :func:`similar_components` deals by agreement of
+least shingle hashes instead: a key is two of them, two texts of similarity s share
+one with probability s squared, and there are ``keys`` independent ones.  Keys of one
+point alone are dropped before anything else moves.  The trees are searched to
+``reach`` bits, and every candidate is compared on the shingle sets, which travel to
+the shards with the points.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohesion.llm import _text
@@ -38,19 +40,16 @@ from kohesion.llm.bktree import Forest
 SEED = 42
 
 
-def fingerprints(texts: list[str | None], words: int, bands: int = 1) -> np.ndarray:
-    """One row per text with ``bands`` SimHash fingerprints over its shingles, repeats included.
+def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
+    """The SimHash fingerprint of each text over its shingles, repeats included.
 
     A-Z are folded; a shingle is ``words`` words joined by a space; a text with
     fewer words has its whole sequence as its shingle; with none, the
-    fingerprints are zero.  A bit is set if over half the hashes have it.  The
-    first band takes XXH64 hashes as they are, the others mix them anew.
+    fingerprint is zero.  A bit is set if over half the hashes have it.
     """
-    out = np.zeros((len(texts), bands), np.uint64)
+    out = np.zeros(len(texts), np.uint64)
     for start, hashes, sizes in _shingles(texts, words):
-        for band in range(bands):
-            own = _text.mix(hashes + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if band else hashes
-            out[start : start + len(sizes), band] = _majority(own, sizes)
+        out[start : start + len(sizes)] = _majority(hashes, sizes)
     return out
 
 
@@ -97,21 +96,18 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", bands: int = 1, digest: bool = False) -> DataFrame:
-    """(id, fps): the fingerprints as signed 64-bit integers, one row per row of ``docs``; with ``digest``, a hash of the shingle set follows them."""
-    width = bands + digest
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def fingerprint_table(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): the fingerprint as a signed 64-bit integer, one row per row of ``docs``."""
 
     def run(batches):
         for batch in _text.pieces(batches):
-            texts = batch.column(1).to_pylist()
-            fps = np.zeros((len(texts), width), np.uint64)
-            fps[:, :bands] = fingerprints(texts, words, bands)
-            if digest:
-                fps[:, bands] = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in shingle_sets(texts, words)]
-            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, width, dtype=np.int32), pa.array(fps.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1).to_pylist(), words).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "id long, fps array<long>")
+    return _own(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
 def _shards(blocks: int, radius: int) -> list[tuple[int, ...]]:
@@ -157,95 +153,208 @@ def shard_forest(batches, radius: int, masks: list[int]):
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def shard_pairs(batches, radius: int, masks: list[int], own: int):
-    """The pairs (a, b) within the radius in the shards that one task holds; of the ``own`` masks of a band on which a pair agrees, the first reports it."""
-    held = _shard_points(batches, masks)
-    if held is None:
-        return
-    values, rep, which, tree = held
-    for a, b in Forest(values, tree).search(radius):
-        differ, first = values[a] ^ values[b], np.full(len(a), -1)
-        for i, mask in enumerate(masks[:own]):
-            first[(first < 0) & (differ & np.uint64(mask) == 0)] = i
-        a, b = a[first == which[a] % own], b[first == which[a] % own]
-        yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
-
-
-def link_fingerprints(points: DataFrame, radius: int, blocks: int, reach: int | None = None) -> DataFrame:
-    """Links (a, b) between the ``rep`` ids of ``points(band, fp, rep)`` within ``radius`` bits, enough to connect all that are linked.
-
-    A fingerprint may be in each band once.  With ``reach``, all pairs within
-    ``reach`` bits that share a shard, not links that connect them.
-    """
+def link_fingerprints(points: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Links (a, b) between the ``rep`` ids of ``points(fp, rep)`` within ``radius`` bits, enough to connect all that are linked; fingerprints differ."""
     masks = _masks(blocks, radius)
     keyed = points.withColumn("mask", F.explode(F.array(*[F.lit(i) for i in range(len(masks))])))
     bits = F.element_at(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]), F.col("mask") + 1)
-    shard: Column = F.xxhash64("band", "mask", F.col("fp").bitwiseAND(bits))
+    shard: Column = F.xxhash64("mask", F.col("fp").bitwiseAND(bits))
     # A shard stays whole in a task; a task holds an even share of the shards.  Its key is not shuffled.
-    dealt = keyed.repartition(parallelism(points.sparkSession), shard).select((F.col("band") * len(masks) + F.col("mask")).alias("mask"), "fp", "rep")
-    bands = points.agg(F.max("band")).first()[0]
-    if reach is not None:
-        return dealt.mapInArrow(lambda batches: shard_pairs(batches, reach, masks * ((bands or 0) + 1), len(masks)), "a long, b long")
-    return dealt.mapInArrow(lambda batches: shard_forest(batches, radius, masks * ((bands or 0) + 1)), "a long, b long")
-
-
-def verified(docs: DataFrame, links: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``links(a, b)`` between ids whose texts' shingle sets have at least this Jaccard similarity."""
+    dealt = keyed.repartition(parallelism(points.sparkSession), shard).select("mask", "fp", "rep")
+    return dealt.mapInArrow(lambda batches: shard_forest(batches, radius, masks), "a long, b long")
 
-    def run(batches):
-        for batch in _text.pieces(batches):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
 
-    pairs = save(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sets = save(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "simhash-sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    sized = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    # Two texts without words are equal.
-    return save(sized.filter((F.col("n") == 0) | (F.col("shared") >= F.lit(float(similarity)) * (F.col("n") - F.col("shared")) - 1e-9)).select("a", "b").distinct(), "simhash-verified")
-
-
-def simhash_components(
-    docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: int = 1, similarity: float | None = None, reach: int | None = None
-) -> DataFrame:
-    """(id, fp, component) for each row of ``docs``; ``fp`` is the first band's fingerprint.
+def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component) for each row of ``docs``; fingerprints link within ``radius`` bits.
 
     ``component`` is the smallest id that links reach, itself included.  Null
     and empty texts have fingerprint zero and link like any other.  A row with
     a null id gets its fingerprint, links with nothing and has a null
     component.  Rows that repeat an id are kept, each with its fingerprint;
     their links are those of the id.  An empty table gives an empty result.
-
-    With ``similarity``, links are only candidates: one holds if the Jaccard
-    similarity of the two texts' shingle sets is at least that.  Candidates are
-    all pairs within ``reach`` bits (``radius`` if it isn't given) that share a shard.
     """
-    prints = save(fingerprint_table(docs, words, id_col, text_col, bands, similarity is not None), "simhash")
+    prints = save(fingerprint_table(docs, words, id_col, text_col), "simhash")
     known = prints.filter("id is not null")
-    points = save(known.groupBy("fps").agg(F.min("id").alias("rep")), "simhash-points")
-    each = points.select("rep", F.posexplode(F.slice("fps", 1, bands)).alias("band", "fp"))
-    first = each.groupBy("band", "fp").agg(F.min("rep").alias("rep"))
-    wide = None if similarity is None else radius if reach is None else reach
-    links = link_fingerprints(save(first, "simhash-bands"), radius, blocks, wide)
-    if bands > 1 or similarity is not None:
-        # Points that agree on a band in full.
-        same = each.join(first.withColumnRenamed("rep", "least"), ["band", "fp"]).filter("rep <> least")
-        links = links.union(same.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    if similarity is not None:
-        links = verified(docs, links, words, similarity, id_col, text_col)
+    points = save(known.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-points")
+    classes = _classes(known, points, ["fp"], link_fingerprints(points, radius, blocks))
+    joined = prints.join(classes.withColumnRenamed("fp", "point"), F.col("fp") == F.col("point"), "left")
+    return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def _classes(known: DataFrame, points: DataFrame, point: list[str], links: DataFrame) -> DataFrame:
+    """(point, component) of the ``points``, from ``links`` between their ``rep`` ids; ``known`` has an id and its point per row."""
     # An id with several texts joins the points of all of them.
-    several = known.groupBy("id").agg(F.count_distinct("fps").alias("n")).filter("n > 1").select("id")
-    own = known.join(several, "id").join(points, "fps").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    several = known.distinct().groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    own = known.join(several, "id").join(points, point).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(links.union(own), "simhash-links")
-    of_point = points.join(found, points["rep"] == found["node"], "left").select(
-        F.col("fps").alias("point"), F.coalesce("component", "rep").alias("component")
-    )
-    joined = prints.join(save(of_point, "simhash-classes"), F.col("fps") == F.col("point"), "left")
-    return joined.select("id", F.col("fps")[0].alias("fp"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    of_point = points.join(found, points["rep"] == found["node"], "left")
+    return save(of_point.select(*point, F.coalesce("component", "rep").alias("component")), "simhash-classes")
+
+
+# ---------------------------------------------------------------- similarity of shingle sets
+
+
+def _least(hashes: np.ndarray, sizes: np.ndarray, keys: int) -> np.ndarray:
+    """``keys`` columns, each a hash of two least values of the shingles under hash functions of its own; of no shingles, the same for all."""
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    out = np.zeros((len(sizes), keys), np.uint64)
+    for k in range(keys):
+        for half in (2 * k, 2 * k + 1) if len(some) else ():
+            least = np.minimum.reduceat(_text.mix(hashes + np.uint64((half + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), starts)
+            out[some, k] = out[some, k] * np.uint64(0x9E3779B97F4A7C15) + least
+        out[:, k] = _text.mix(out[:, k] + np.uint64(k))
+    return out
+
+
+def _digest(shingles: np.ndarray) -> int:
+    """A hash of sorted distinct shingle hashes; zero for none."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0
+
+
+def similarity_points(docs: DataFrame, words: int, keys: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, fp, keys): a 64-bit hash of the shingle set, the fingerprint and the shard keys of each row."""
+
+    def run(batches):
+        for batch in _text.pieces(batches):
+            texts = batch.column(1).to_pylist()
+            fp, least, digest = np.zeros(len(texts), np.uint64), np.zeros((len(texts), keys), np.uint64), np.zeros(len(texts), np.uint64)
+            least[:] = _least(np.zeros(0, np.uint64), np.zeros(1, np.int64), keys)
+            for start, hashes, sizes in _shingles(texts, words):
+                own = slice(start, start + len(sizes))
+                fp[own], least[own] = _majority(hashes, sizes), _least(hashes, sizes, keys)
+                digest[own] = [_digest(np.unique(part)) for part in np.split(hashes, np.cumsum(sizes)[:-1])]
+            lists = pa.ListArray.from_arrays(np.arange(0, least.size + 1, keys, dtype=np.int32), pa.array(least.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["id", "digest", "fp", "keys"])
+
+    return _own(docs, id_col, text_col).mapInArrow(run, "id long, digest long, fp long, keys array<long>")
+
+
+def _set_table(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, digest, shingles) of the ``wanted(rep, digest)``: the sorted distinct shingle hashes as bytes."""
+
+    def run(batches):
+        for batch in _text.pieces(batches):
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            digest = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "digest", "shingles"])
+
+    texts = _own(docs, id_col, text_col).withColumnRenamed("id", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi")
+    return texts.mapInArrow(run, "rep long, digest long, shingles binary")
+
+
+def similar_enough(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted distinct arrays have at least this Jaccard similarity; two empty ones are equal."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(large):
+        return True
+    if len(small) < similarity * len(large) - 1e-9:
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    shared = int((large[at] == small).sum())
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+
+#: Bytes of points that a task holds at once, unless one shard has more.
+SHARD_BYTES = 32 << 20
+
+
+def _whole_shards(batches):
+    """Tables of some whole shards from rows that come sorted by their first column."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < SHARD_BYTES:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = rows.column(0).to_numpy()
+        # The last shard may go on in the next batch.
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield rows.slice(0, cut)
+        held = pa.Table.from_batches(rows.slice(cut).to_batches()).to_batches()
+        size = sum(b.nbytes for b in held) if cut else 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _trees(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of the tree of each row) of rows sorted by shard."""
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def shard_classes(batches, reach: int):
+    """(shard, rep, digest, fp) of the points of (key, rep, digest, fp) rows that have another within ``reach`` bits in their shard.
+
+    What such steps connect is a shard of its own, called by a hash of its points, so
+    shards of several keys that hold the same points have the same name.
+    """
+    for rows in _whole_shards(batches):
+        rep, values = rows.column("rep").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+        _, tree = _trees(rows.column("key").to_numpy())
+        label = Forest(values, tree).connect(reach)
+        own = _text.mix(rep.view(np.uint64) ^ _text.mix(rows.column("digest").to_numpy().view(np.uint64)))
+        name = np.zeros(len(label), np.uint64)
+        np.add.at(name, label, own)
+        several = np.bincount(label, minlength=len(label))[label] > 1
+        shard = pa.array(_text.mix(name)[label][several].view(np.int64))
+        rest = rows.filter(pa.array(several)).select(["rep", "digest", "fp"]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([shard, *[c.combine_chunks() for c in rest.columns]], ["shard", "rep", "digest", "fp"])
+
+
+def shard_similar(batches, reach: int, similarity: float):
+    """Links (a, b) of spanning forests of the shards of (shard, rep, fp, shingles) rows, which come sorted by shard."""
+    for rows in _whole_shards(batches):
+        yield _link_shards(rows, reach, similarity)
+
+
+def _link_shards(rows: pa.Table, reach: int, similarity: float) -> pa.RecordBatch:
+    key, rep, values = rows.column(0).to_numpy(), rows.column("rep").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+    new, tree = _trees(key)
+    # A tree's points by their distance to its majority, so that what a dense group has in common comes first and joins it at once.
+    centre = _majority(values, np.diff(np.append(new, len(key))))
+    order = np.lexsort((rep, np.bitwise_count(values ^ centre[tree]), tree))
+    blob = rows.column("shingles").combine_chunks()
+    # A binary array's own buffers, cut where rows are.
+    sets = [np.frombuffer(blob[int(i)].as_buffer(), np.uint64) for i in order]
+    forest = Forest(values[order], tree[order])
+    label = forest.connect(reach, lambda a, b: similar_enough(sets[a], sets[b], similarity))
+    own = rep[order]
+    moved = label != np.arange(len(label))
+    pairs = np.unique(np.stack([own[moved], own[label[moved]]]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys: int = 6, reach: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) for each row of ``docs``; texts link if their shingle sets have at least this Jaccard similarity.
+
+    ``component`` is the smallest id that links reach, itself included.  A pair of
+    similarity s is missed if it shares none of the keys, (1 - s * s) ** keys, or its
+    fingerprints differ in over ``reach`` bits.  Null and empty texts are equal to each
+    other.  A row with a null id links with nothing and has a null component.  Rows
+    that repeat an id have the links of the id.  An empty table gives an empty result.
+    """
+    prints = save(similarity_points(docs, words, keys, id_col, text_col), "similar")
+    known = prints.filter("id is not null").select("id", "digest", "fp")
+    points = save(prints.filter("id is not null").groupBy("digest", "fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "similar-points")
+    keyed = points.select("rep", "digest", "fp", F.posexplode("keys").alias("place", "key")).withColumn("key", F.xxhash64("place", "key")).drop("place")
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").drop("n")
+    parts = parallelism(docs.sparkSession)
+    near = shared.repartition(parts, "key").sortWithinPartitions("key").select("key", "rep", "digest", "fp").mapInArrow(lambda batches: shard_classes(batches, reach), "shard long, rep long, digest long, fp long")
+    shards = save(near.distinct(), "similar-shards")
+    sets = _set_table(docs, shards.select("rep", "digest"), words, id_col, text_col)
+    if not known.groupBy("id", "digest").count().filter("count > 1").isEmpty():
+        # Rows that repeat an id with the same shingles are one.
+        sets = sets.groupBy("rep", "digest").agg(F.min("shingles").alias("shingles"))
+    dealt = shards.join(sets, ["rep", "digest"]).repartition(parts, "shard").sortWithinPartitions("shard").select("shard", "rep", "fp", "shingles")
+    links = dealt.mapInArrow(lambda batches: shard_similar(batches, reach, similarity), "a long, b long")
+    classes = _classes(known, points.drop("keys"), ["digest", "fp"], links)
+    joined = prints.select("id", "digest", "fp").join(classes, ["digest", "fp"], "left")
+    return joined.select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:
@@ -253,22 +362,27 @@ def hex_fingerprint(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def near_dedup(
-    docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 9, bands: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, reach: int | None = 12
-) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys: int = 6, reach: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component of :func:`similar_components` the row with the smallest id stays.
 
     Columns are those of ``docs``.  Rows with a null id all stay.  Of rows that
-    repeat the id that stays, one stays.  Links are verified on the shingle sets.
+    repeat the id that stays, the least by its columns stays.
     """
-    classes = simhash_components(docs, words, radius, blocks, id_col, text_col, bands, similarity, reach)
-    dropped = classes.filter("id <> component").select(F.col("id").alias("__gone"))
-    repeated = save(classes.filter("id = component").groupBy(F.col("id").alias("__gone")).count().filter("count > 1").select("__gone"), "simhash-repeats")
+    classes = save(similar_components(docs, words, similarity, keys, reach, id_col, text_col), "similar-components")
+    free = _free_names(docs.columns, 2)
+    dropped = classes.filter("id <> component").select(F.col("id").alias(free[1]))
+    repeated = save(classes.filter("id = component").groupBy(F.col("id").alias(free[1])).count().filter("count > 1").select(free[1]), "simhash-repeats")
     gone = save(dropped.union(repeated).distinct(), "simhash-dropped")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    same = F.col("__id") == F.col("__gone")
-    kept = packed.join(gone, same, "left_anti").select("__row")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(free[0]), F.col(f"`{id_col}`").cast("long").alias("id"))
+    same = F.col("id") == F.col(free[1])
+    kept = packed.join(gone, same, "left_anti").select(free[0])
     if not repeated.isEmpty():
-        one = packed.join(repeated, same, "left_semi").groupBy("__id").agg(F.min("__row").alias("__row"))
-        kept = kept.union(one.select("__row"))
-    return kept.select("__row.*")
+        one = packed.join(repeated, same, "left_semi").groupBy("id").agg(F.min(free[0]).alias(free[0]))
+        kept = kept.union(one.select(free[0]))
+    return kept.select(f"{free[0]}.*")
+
+
+def _free_names(columns: list[str], n: int) -> list[str]:
+    """Names that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    return [name for name in (f"__own{i}" for i in range(len(columns) + n)) if name not in taken][:n]

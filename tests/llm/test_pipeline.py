@@ -42,20 +42,10 @@ def check_quality(spark, before, after, sf):
 
 
 def check_dedup(spark, before, after, sf):
+    from test_near_similarity import exact_pairs, kept_of
+
     rows = texts(before)
-    prints = simhash.fingerprints([t for _, t in rows], 5, 3)
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, (i, _) in enumerate(rows):
-        for b in np.flatnonzero((np.bitwise_count(prints[a] ^ prints[:a]) <= 6).any(1)):
-            x, y = find(i), find(rows[b][0])
-            root[max(x, y)] = min(x, y)
-    assert sorted(i for i, _ in texts(after)) == sorted({find(i) for i in root})
+    assert sorted(i for i, _ in texts(after)) == sorted(kept_of(rows, exact_pairs(rows)))
     assert after.count() < before.count()
 
 

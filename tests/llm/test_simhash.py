@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from kohesion.llm import simhash
 from kohesion.llm.bktree import Forest, merge
@@ -38,9 +39,9 @@ def brute_components(prints, radius):
 def test_fingerprints_match_brute_force():
     texts = [None, "", "  \t\n", "One", "one TWO", "a b c", "a  b\tc\x0bd\x0ce\rf", "É é ÀB ab", "x\xa0y z w", "the the the the", "𝔘nicode 🙂 words here now " * 50]
     for words in (1, 3, 5):
-        got = simhash.fingerprints(texts, words, 2)
-        assert (got[:3] == 0).all() and (got[3:, 0] != got[3:, 1]).all()
-        assert [int(f) for f in got[:, 0]] == [brute_fingerprint(t, words) for t in texts]
+        got = simhash.fingerprints(texts, words)
+        assert (got[:3] == 0).all()
+        assert [int(f) for f in got] == [brute_fingerprint(t, words) for t in texts]
 
 
 def test_forest_finds_every_pair():
@@ -104,7 +105,7 @@ def test_chains_and_wider_radii(spark):
     for i in range(12):
         chain.append(chain[-1] ^ (0b11 << (4 * i)))
     prints = dict(enumerate([*chain[::-1], *values[1:], *[v ^ 0b111111 << 50 for v in values[1:10]]]))
-    points = spark.createDataFrame([(0, v - (1 << 64) if v >> 63 else v, i) for i, v in prints.items()], "band int, fp long, rep long")
+    points = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in prints.items()], "fp long, rep long")
     for radius, blocks in ((2, 4), (6, 9)):
         from kohesion.llm._components import connected_components
 
@@ -138,26 +139,58 @@ def test_near_copies_go(docs):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(rows)).collect()) == [1, 3]
 
 
-def test_bands_link_what_one_of_them_finds(docs):
+def test_accepted_links_match_brute_force():
     rng = np.random.default_rng(4)
-    rows = []
-    for i in range(40):
-        words = [f"w{v}" for v in rng.integers(0, 9000, 120)]
-        copy = [*words]
-        for at in rng.integers(0, 120, 2):
-            copy[at] = "other"
-        rows += [(i, " ".join(words)), (100 + i, " ".join(copy))]
-    prints = simhash.fingerprints([t for _, t in rows], 5, 3)
-    near = {(a, b) for a in range(len(rows)) for b in range(a) if (np.bitwise_count(prints[a] ^ prints[b]) <= 6).any()}
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in near:
-        x, y = find(rows[a][0]), find(rows[b][0])
-        root[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in simhash.simhash_components(docs(rows), 5, 6, 9, bands=3).collect()}
-    assert got == {i: find(i) for i in root} and len(set(got.values())) < 60
+    for n, radius in ((200, 20), (60, 64)):
+        values, tree = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 3, n)
+        allowed = {(a, b) for a in range(n) for b in range(n) if (a * 7 + b * 7) % 11 == 0}
+        links = [(a, b) for a, b in allowed if a < b and tree[a] == tree[b] and (int(values[a]) ^ int(values[b])).bit_count() <= radius]
+        root = list(range(n))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        got = Forest(values, tree).connect(radius, lambda a, b, allowed=allowed: (a, b) in allowed)
+        assert [*map(int, got)] == [find(i) for i in range(n)]
+
+
+def test_a_dense_group_is_not_compared_pair_by_pair():
+    """Copies of one text that resemble it and not each other: its fingerprint is nearest the majority, so it is asked first."""
+    rng = np.random.default_rng(5)
+    base, asked = rng.integers(0, 1 << 63), []
+    copies = [base ^ int(sum(1 << int(b) for b in rng.choice(63, 6, replace=False))) for _ in range(2000)]
+    rows = pa.table({"key": np.zeros(2001, np.int64), "rep": np.arange(2001), "fp": np.array([*copies, base], np.int64), "shingles": pa.array([np.uint64(i).tobytes() for i in range(2001)], pa.binary())})
+    real = simhash.similar_enough
+
+    def similar(x, y, similarity):
+        asked.append(1)
+        return 2000 in (int(x[0]), int(y[0]))
+
+    simhash.similar_enough = similar
+    try:
+        links = simhash._link_shards(rows, 18, 0.8)
+    finally:
+        simhash.similar_enough = real
+    assert links.num_rows == 2000 and len(asked) < 3000
+
+
+def test_shards_of_the_same_points_are_one():
+    """Two keys with the same near points and one key with another far point."""
+    key, rep, fp = [1, 1, 2, 2, 2, 3, 3], [5, 6, 5, 6, 9, 5, 9], [0, 1, 0, 1, -1, 0, -1]
+    rows = pa.table({"key": key, "rep": rep, "digest": [10 * r for r in rep], "fp": fp})
+    out = pa.Table.from_batches(simhash.shard_classes(rows.to_batches(), 18)).to_pylist()
+    assert len({r["shard"] for r in out}) == 1
+    assert sorted((r["rep"], r["digest"], r["fp"]) for r in out) == [(5, 50, 0)] * 2 + [(6, 60, 1)] * 2
+
+
+def test_shards_go_on_over_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_BYTES", 400)
+    own = np.arange(12, dtype=np.uint64)
+    rows = pa.table({"key": np.repeat(np.arange(10), 6), "rep": np.arange(60), "fp": np.zeros(60, np.int64) + np.arange(60) % 6, "shingles": pa.array([own.tobytes()] * 60, pa.binary())})
+    links = pa.Table.from_batches(simhash.shard_similar(rows.to_batches(max_chunksize=4), 18, 0.8))
+    assert sorted(zip(*links.to_pydict().values(), strict=True)) == [(6 * k + i, 6 * k) for k in range(10) for i in range(1, 6)]
