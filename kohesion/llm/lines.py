@@ -13,19 +13,38 @@ from pyspark.sql import functions as F
 
 from kohesion.llm._store import save
 
+# The HTML elements that begin a line of their own.
+BLOCKS = (
+    "address article aside blockquote body br caption dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
+    "li main nav ol option p pre section table tbody td tfoot th thead title tr ul"
+)
+_CUT = rf"(?i)</?(?:{'|'.join(BLOCKS.split())})(?:[\s/][^>]*)?>|\n"
+_TAG = "<[^>]*>"
 
-def page_lines(text: Column, separator: str = "\n") -> Column:
-    """The trimmed lines of a text; null has none."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), separator, -1), lambda x: F.trim(x))
 
+def text_lines(text: Column) -> Column:
+    """The lines of a text; null has one, an empty one."""
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_pages: int, separator: str) -> DataFrame:
-    """(host, n_pages, lines): the lines in over ``ratio`` of a host's pages, for hosts of at least ``min_pages``."""
-    base = pages.select(host.alias("host"), F.array_distinct(page_lines(text, separator)).alias("lines"))
-    totals = save(base.groupBy("host").agg(F.count("*").alias("n_pages")), "line-hosts")
+
+def html_lines(html: Column) -> Column:
+    """The texts between block-level tags and line ends, without other tags and empty ones; null has none."""
+    parts = F.transform(F.split(F.coalesce(html.cast("string"), F.lit("")), _CUT, -1), lambda x: F.trim(F.regexp_replace(x, _TAG, "")))
+    return F.filter(parts, lambda x: x != "")
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(url.cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", 1)), F.lit(""))
+
+
+def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, least: int, min_pages: int) -> DataFrame:
+    """(host, lines): the lines in over ``ratio`` of a host's pages and at least ``least`` of them, for hosts of at least ``min_pages``."""
+    base = pages.select(host.alias("host"), F.array_distinct(F.transform(lines, lambda x: F.trim(x))).alias("lines"))
+    totals = save(pages.groupBy(host.alias("host")).agg(F.count("*").alias("n_pages")), "line-hosts")
     line = base.select("host", F.explode("lines").alias("line")).filter("line <> ''")
     # Two hashes stand for the line in the shuffle; the shortest text of a group stands for it afterwards.
-    counts = line.groupBy("host", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")).agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    counts = line.groupBy("host", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")).agg(F.count("*").alias("n"), F.min("line").alias("line")).filter(F.col("n") >= least)
     often = (
         counts.join(totals, counts["host"].eqNullSafe(totals["host"]))
         .filter((F.col("n_pages") >= min_pages) & (F.col("n") > F.col("n_pages") * F.lit(float(ratio))))
@@ -34,30 +53,21 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_
     return save(often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-boilerplate")
 
 
-def drop_site_lines(
-    pages: DataFrame,
-    host: Column,
-    text_col: str = "text",
-    ratio: float = 0.2,
-    min_pages: int = 10,
-    separator: str = "\n",
-) -> DataFrame:
-    """``pages`` with ``__host``, ``__clean`` (the text without boilerplate lines), ``__lines`` and ``__dropped`` (line counts).
-
-    A line goes if over ``ratio`` of its host's pages hold it and the host has
-    at least ``min_pages`` pages.  Lines are compared without the spaces around
-    them; empty lines stay.  Pages that repeat count each.  A null host is a
-    host of its own; a null text is empty and stays so.
+def drop_site_lines(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.2, least: int = 2, min_pages: int = 10) -> DataFrame:
+    """(row, host, clean, n_lines, n_dropped) of every page; ``row`` has all its columns, so no name can clash.
+
+    ``lines`` makes a page's lines, as :func:`text_lines` and :func:`html_lines`
+    do; ``clean`` joins those that stay by line ends.  A line goes if over
+    ``ratio`` of its host's pages hold it, at least ``least`` do, and the host
+    has at least ``min_pages`` pages.  Lines are compared without the spaces
+    around them; empty lines stay.  Pages that repeat count each.  A null host
+    is a host of its own; a null text has no words to lose; very long texts are
+    cut whole; an empty table gives an empty result.
     """
-    often = boilerplate(pages, host, F.col(f"`{text_col}`").cast("string"), ratio, min_pages, separator).select(F.col("host").alias("__often_host"), F.col("lines").alias("__often"))
-    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("__row"), host.alias("__host"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    joined = own.join(often, F.col("__host").eqNullSafe(F.col("__often_host")), "left")
-    lines = F.split("__text", separator, -1)
-    kept = F.when(F.col("__often").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__often"), F.trim(x))))
-    return joined.select("__row.*", "__host", lines.alias("__all"), kept.alias("__kept")).select(
-        *[F.col(f"`{c}`") for c in pages.columns],
-        "__host",
-        F.array_join("__kept", separator).alias("__clean"),
-        F.size("__all").cast("long").alias("__lines"),
-        (F.size("__all") - F.size("__kept")).cast("long").alias("__dropped"),
+    often = boilerplate(pages, host, lines, ratio, least, min_pages).toDF("often_host", "often")
+    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), lines.alias("lines"))
+    joined = own.join(often, F.col("host").eqNullSafe(F.col("often_host")), "left")
+    kept = F.when(F.col("often").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("often"), F.trim(x))))
+    return joined.select("row", "host", "lines", kept.alias("kept")).select(
+        "row", "host", F.array_join("kept", "\n").alias("clean"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped")
     )

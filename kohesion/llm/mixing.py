@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohesion.llm._store import save
+from kohesion.llm._store import parallelism, save
 
 #: md5 hexadecimal digits behind a uniform variate: 52 bits, exact in a double.
 _DIGITS = 13
@@ -44,7 +44,7 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
 
     Null is a source of its own.  Sources that ``weights`` doesn't name weigh 0.
     """
-    counts = save(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n_rows")), "mix-sources")
+    counts = save(docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n_rows")), "mix-sources")
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n_rows").cast("double"), F.lit(float(alpha))))
     else:
@@ -66,35 +66,33 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """The rows of ``docs``, each repeated by its Poisson count and shuffled, with ``__copy``, ``__rate`` and ``__order``.
+    """(row, copy, rate, order): the rows of ``docs``, each repeated by its Poisson count, shuffled; ``row`` has all columns, so no name can clash.
 
     ``total`` is the expected number of rows of the mix (default: as many as
     there are).  A row's variate hashes the seed and its id, so rows that share
     an id share their count; a null id counts as the text "null".  A null
-    source is a source.  An empty table gives an empty mix.
+    source is a source.  Texts aren't looked at, however long.  An empty table
+    gives an empty mix.  Partitions and the rows inside go by ``order``.
     """
     rates = save(source_rates(docs, source_col, weights, alpha, total), "mix-rates")
     # Counts of up to 500 from one inversion; a larger rate is drawn as the sum of equal parts.
     parts = F.greatest(F.ceil(F.col("rate") / 500), F.lit(1)).cast("int")
     table = save(
-        rates.withColumn("parts", parts).select(
-            F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"), poisson_table(F.col("rate") / F.col("parts")).alias("__cdf")
-        ),
+        rates.withColumn("parts", parts).select(F.col("source").alias("of"), "rate", "parts", poisson_table(F.col("rate") / F.col("parts")).alias("cdf")),
         "mix-tables",
     )
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(source_col).cast("string").alias("__s"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"))
-    drawn = own.join(table, F.col("__s").eqNullSafe(F.col("__source")))
-    # 0-based part numbers; the count of one part is how many P(N <= k) don't exceed its variate.
-    count = F.aggregate(
-        F.transform(
-            F.sequence(F.lit(0), F.col("__parts") - 1),
-            lambda j: F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform(F.lit(seed), F.col("__id"), j))),
-        ),
-        F.lit(0),
-        lambda a, b: a + b,
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("s"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("id")
     )
-    counted = drawn.withColumn("__count", count).filter("__count > 0")
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "__id", F.col("__copy").cast("string")))
-    mixed = copies.select("__row.*", "__copy", "__rate", order.alias("__order"))
-    return mixed.repartitionByRange("__order").sortWithinPartitions("__order")
+    drawn = own.join(table, F.col("s").eqNullSafe(F.col("of")))
+    # One variate a part, made once; the count of a part is how many P(N <= k) don't exceed it.
+    variates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: uniform(F.lit(seed), F.col("id"), j))
+    count = F.aggregate(F.transform(variates, lambda u: F.size(F.filter("cdf", lambda c: c <= u))), F.lit(0), lambda a, b: a + b)
+    counted = drawn.withColumn("count", count).filter(F.col("count") > 0)
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "id", F.col("copy").cast("string")))
+    mixed = copies.select("row", "copy", "rate", order.alias("order"))
+    # A hash is even, so its ranges are known without a pass over the rows.
+    n = parallelism(docs.sparkSession)
+    place = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * n).cast("int")
+    return mixed.repartitionById(n, place).sortWithinPartitions("order")

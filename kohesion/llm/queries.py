@@ -12,8 +12,9 @@ from kohesion.llm import decontaminate, embeddings, lines, mixing, quality, secr
 #: Of word_bpe_49k.json, what ends a document.
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: A line that over this share of a source's documents hold is boilerplate.
-LINE_RATIO = 0.1
+#: A line that over this share of a host's pages hold, at least so many, is boilerplate, on hosts of so many pages.
+LINE_RATIO = 0.05
+LINE_LEAST = 3
 LINE_PAGES = 10
 MIX_ALPHA = 0.5
 MIX_SEED = 17
@@ -49,9 +50,9 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    clean = lines.drop_site_lines(docs, F.col("source"), "text", LINE_RATIO, LINE_PAGES)
-    return clean.select("doc_id", "source", F.col("__clean").alias("clean_text"), F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+    pages = table(spark, sf_dir, "pages")
+    clean = lines.drop_site_lines(pages, lines.url_host(F.col("url")), lines.html_lines(F.col("html")), LINE_RATIO, LINE_LEAST, LINE_PAGES)
+    return clean.select("row.page_id", "host", F.col("clean").alias("clean_text"), "n_lines", "n_dropped")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), alpha=MIX_ALPHA, seed=MIX_SEED)
-    return mixed.select("doc_id", "source", "text", F.col("__copy").alias("copy"), F.col("__order").alias("order_key"))
+    return mixed.select("row.doc_id", "row.source", "row.text", "copy", F.col("order").alias("order_key"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,13 +133,14 @@ SQL = {
         cnt as (select a, count(*) as c from link group by a)
         select e.vec_id, cast(coalesce(c.c, 0) as bigint) as n_links, t.component_id, e.vec_id = t.component_id as kept
         from embeddings e join root t on e.vec_id = t.n left join cnt c on c.a = e.vec_id""",
-    "op5_line_dedup": f"""
-        with base as (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as l from documents),
-        total as (select source, count(*) as n from base group by source),
-        line as (select source, x, count(*) as c from (select source, unnest(list_distinct(list_transform(l, lambda y: trim(y)))) as x from base) where x <> '' group by all),
-        often as (select line.source, list(x) as xs from line join total on line.source is not distinct from total.source where n >= {LINE_PAGES} and c > n * cast({LINE_RATIO} as double) group by all),
-        kept as (select b.doc_id, b.source, b.l, case when o.xs is null then b.l else list_filter(b.l, lambda y: not list_contains(o.xs, trim(y))) end as k from base b left join often o on b.source is not distinct from o.source)
-        select doc_id, source, array_to_string(k, chr(10)) as clean_text, len(l) as n_lines, len(l) - len(k) as n_dropped from kept""",
+    "op5_line_dedup": rf"""
+        with base as (select page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)), '') as host,
+          list_filter(list_transform(string_split_regex(coalesce(html, ''), '(?i)</?(?:{"|".join(lines.BLOCKS.split())})(?:[\s/][^>]*)?>|\n'), lambda y: trim(regexp_replace(y, '<[^>]*>', '', 'g'), ' ')), lambda y: y <> '') as l from pages),
+        total as (select host, count(*) as n from base group by host),
+        line as (select host, x, count(*) as c from (select host, unnest(list_distinct(l)) as x from base) group by all),
+        often as (select line.host, list(x) as xs from line join total on line.host is not distinct from total.host where n >= {LINE_PAGES} and c >= {LINE_LEAST} and c > n * cast({LINE_RATIO} as double) group by all),
+        kept as (select b.page_id, b.host, b.l, case when o.xs is null then b.l else list_filter(b.l, lambda y: not list_contains(o.xs, y)) end as k from base b left join often o on b.host is not distinct from o.host)
+        select page_id, host, coalesce(array_to_string(k, chr(10)), '') as clean_text, len(l) as n_lines, len(l) - len(k) as n_dropped from kept""",
     "op7_source_mixing": f"""
         with s as (select source, count(*) as n, pow(count(*), {MIX_ALPHA}) as w from documents group by source),
         rate as (select source, w / (select sum(w) from s) * (select sum(n) from s) / n as r from s),

@@ -31,7 +31,7 @@ def sf():
 
 
 #: Names that operators use or might use inside.
-CLASHING = ("id", "fp", "component", "label", "__row", "score", "source_1", "rate", "copy", "host", "lines", "chunk", "ids")
+CLASHING = ("id", "fp", "component", "label", "__row", "score", "source_1", "rate", "copy", "host", "lines", "chunk", "ids", "__copy", "__order", "__host", "__clean", "__own0", "row", "count", "order", "dotted.name")
 
 
 @pytest.fixture

@@ -31,14 +31,24 @@ def test_lines_match_brute_force(docs, clashing):
     rows += [(400, None, "a"), (401, "", "b"), (402, "menu", "rare"), (403, "menu\n" * 3000 + "x", "a"), (404, "menu", "a"), (404, "menu", "a")]
     table = docs(rows, clashing)
     for ratio, least in ((0.3, 5), (0.05, 1)):
-        out = lines.drop_site_lines(table, F.col("source"), "text", ratio, least)
-        got = Counter((r["doc_id"], r["__clean"], r["__lines"] - r["__dropped"]) for r in out.collect())
+        out = lines.drop_site_lines(table, F.col("source"), lines.text_lines(F.col("text")), ratio, 1, least)
+        got = Counter((r["row"]["doc_id"], r["clean"], r["n_lines"] - r["n_dropped"]) for r in out.collect())
         clean = brute_lines([(h, t) for _, t, h in rows], ratio, least)
         kept = [len(c.split("\n")) if c or not t else None for c, (_, t, _) in zip(clean, rows, strict=True)]
         assert Counter(g[:2] for g in got) == Counter({(i, c): 1 for (i, _, _), c in zip(rows, clean, strict=True)})
         assert all(k is None or any(g[0] == i and g[2] == k for g in got) for k, (i, _, _) in zip(kept, rows, strict=True))
-        assert out.columns[: len(table.columns)] == table.columns
-    assert lines.drop_site_lines(docs([]), F.col("source")).count() == 0
+        assert out.select("row.*").columns == table.columns
+    assert lines.drop_site_lines(docs([]), F.col("source"), lines.text_lines(F.col("text"))).count() == 0
+
+
+def test_html_lines_and_hosts(spark):
+    rows = [
+        ("HTTP://A.Example:80/x?y#z", "<html><body class='x'><p>one <b>two</b></p><br/>three<P>four</p ><pre>five\nsix</pre><span>in</span>line"),
+        ("no host", None), (None, ""), ("ftp://b/", "<paragraph>kept</paragraph><LI>li"),
+    ]
+    got = spark.createDataFrame(rows, "u string, h string").select(lines.url_host(F.col("u")).alias("u"), lines.html_lines(F.col("h")).alias("h")).collect()
+    assert [r["u"] for r in got] == ["a.example", None, None, "b"]
+    assert [r["h"] for r in got] == [["one two", "three", "four", "five", "six", "inline"], [], [], ["kept", "li"]]
 
 
 # ---------------------------------------------------------------- mixing
@@ -67,22 +77,24 @@ def test_mix_matches_brute_force(docs, clashing):
             want[i] += brute_count(17, i, rate[s]) if rate[s] else 0
         mixed = mixing.mix_sources(table, weights)
         got = mixed.collect()
-        assert Counter(r["doc_id"] for r in got) == +want
-        assert mixed.columns[: len(table.columns)] == table.columns
-        order = [r["__order"] for r in got]
+        assert Counter(r["row"]["doc_id"] for r in got) == +want
+        assert mixed.select("row.*").columns == table.columns
+        order = [r["order"] for r in got]
         assert order == sorted(order)
     assert mixing.mix_sources(docs([])).count() == 0
+    long = mixing.mix_sources(docs([(1, "word " * 400_000, "a")]), total=3).collect()
+    assert all(len(r["row"]["text"]) == 2_000_000 for r in long)
 
 
 def test_mix_meets_its_weights(docs):
     rows = [(i, "t", "a" if i < 4000 else "b") for i in range(6000)]
-    got = Counter(r["source"] for r in mixing.mix_sources(docs(rows), {"a": 1, "b": 4}, total=10_000).collect())
+    got = Counter(r["row"]["source"] for r in mixing.mix_sources(docs(rows), {"a": 1, "b": 4}, total=10_000).collect())
     assert abs(got["a"] - 2000) < 200 and abs(got["b"] - 8000) < 400
 
 
 def test_large_rates_are_drawn_in_parts(docs):
     got = mixing.mix_sources(docs([(1, "t", "a"), (2, "t", "a")]), total=4000)
-    counts = Counter(r["doc_id"] for r in got.collect())
+    counts = Counter(r["row"]["doc_id"] for r in got.collect())
     assert all(abs(n - 2000) < 250 for n in counts.values())
 
 
