@@ -9,8 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from kohesion.llm import _text
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` or the context names; a fresh temporary one only where executors are threads of the driver.
@@ -40,3 +43,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filter_batches(df: DataFrame, column: str, make_keep) -> DataFrame:
+    """The rows of ``df`` that stay, whatever its columns are called; ``make_keep()`` gives a task's function from a column's Arrow values to a mask."""
+    at = df.columns.index(column)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def run(batches):
+        keep = make_keep()
+        for batch in _text.pieces(batches):
+            yield batch.filter(pa.array(keep(batch.column(at))))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

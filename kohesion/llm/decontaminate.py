@@ -3,12 +3,10 @@
 The search is for items of which a document holds at least ``threshold`` of the
 distinct shingles, however long the document is.  A fixed-size MinHash of the
 document would be filled by the rest of its text, so the items are sketched and
-partitioned by their number of shingles: an item of size q keeps its smallest
-``q - ceil(threshold * q) + least_hits`` hashes, the length that its size class
-needs.  A document that holds enough of the item holds at least ``least_hits``
-of them (at most ``q - ceil(threshold * q)`` can be missing), so documents whose
-hashes meet a sketch less often are dropped without loss, and the others are
-checked on the shingles themselves.
+partitioned by shingle width and size class.  A class sets its sketches' length, a
+few hashes more than what its largest item may lack (``q - ceil(threshold * q)`` of q),
+and the number that a document has to meet, so documents below it are dropped
+without loss, and the others are checked on the shingles themselves.
 
 The items go to the workers in blocks of bounded size; a benchmark beyond one
 block takes one pass over the documents for each.
@@ -22,10 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohesion.llm import _text
+from kohesion.llm._store import filter_batches, save
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,46 +47,51 @@ def needed(size: int, threshold: float) -> int:
 
 @dataclass
 class Partition:
-    """The sketches of the items of one shingle width and size class."""
+    """The sketches of the items of one shingle width and size class.
+
+    All have the class's length, or their whole set if it is shorter, and a text is a
+    candidate if it meets ``least`` hashes of one.
+    """
 
     width: int
+    length: int
+    least: int
     hashes: np.ndarray
     items: np.ndarray
-    least: np.ndarray
 
 
 @dataclass
 class Index:
-    items: list[tuple[int | None, int, set[bytes]]]
+    #: Item id, words per shingle, distinct shingles, how often the item is there.
+    items: list[tuple[int | None, int, set[bytes], int]]
     partitions: list[Partition]
     threshold: float
 
 
-def build_index(items: list[tuple[int | None, str | None]], k: int = SHINGLE, threshold: float = THRESHOLD, least_hits: int = 2) -> Index:
-    """Sketches of the items, in partitions by shingle width and power of two of the number of shingles."""
+def build_index(items: list[tuple], k: int = SHINGLE, threshold: float = THRESHOLD, least_hits: int = 2) -> Index:
+    """Sketches of the items (id, text[, times]), in partitions by shingle width and power of two of the number of shingles.
+
+    A text with ``threshold`` of an item's shingles lacks at most so many of them.  A
+    class's sketches are ``least_hits`` longer than what its largest item may lack, and
+    its threshold is what the least favoured item still meets: no match is missed.
+    """
     kept, classes = [], defaultdict(list)
-    for item_id, text in items:
+    for item_id, text, *times in items:
         width, shingles = item_shingles(text, k)
         if not shingles:
             continue
-        found = _text.find_words([text or ""])
-        hashes = np.unique(found.shingles(width)[0])
+        hashes = np.unique(_text.find_words([text or ""]).shingles(width)[0])
         missing = len(shingles) - needed(len(shingles), threshold)
-        size = min(missing + least_hits, len(hashes))
-        classes[width, len(shingles).bit_length()].append((len(kept), hashes[:size], max(1, size - missing)))
-        kept.append((item_id, width, shingles))
+        classes[width, len(shingles).bit_length()].append((len(kept), hashes, missing))
+        kept.append((item_id, width, shingles, times[0] if times else 1))
     partitions = []
     for (width, _), rows in sorted(classes.items()):
-        hashes = np.concatenate([h for _, h, _ in rows])
-        owner = np.concatenate([np.full(len(h), i) for i, h, _ in rows])
+        length = max(missing for _, _, missing in rows) + least_hits
+        least = max(1, min(min(length, len(h)) - missing for _, h, missing in rows))
+        hashes = np.concatenate([h[:length] for _, h, _ in rows])
+        owner = np.repeat([i for i, _, _ in rows], [min(length, len(h)) for _, h, _ in rows])
         order = np.argsort(hashes)
-        partitions.append(Partition(width, hashes[order], owner[order], np.array([n for _, _, n in rows])))
-    least = np.ones(len(kept), np.int64)
-    for rows in classes.values():
-        for i, _, n in rows:
-            least[i] = n
-    for p in partitions:
-        p.least = least
+        partitions.append(Partition(width, length, least, hashes[order], owner[order]))
     return Index(kept, partitions, threshold)
 
 
@@ -115,7 +119,7 @@ def candidates(index: Index, found: _text.Words) -> set[tuple[int, int]]:
                 continue
             at = np.repeat(low - np.cumsum(width_of) + width_of, width_of) + np.arange(width_of.sum())
             both, times = np.unique(np.stack([np.repeat(pairs.doc, width_of), p.items[at]]), axis=1, return_counts=True)
-            enough = times >= p.least[both[1]]
+            enough = times >= p.least
             out.update(zip(both[0][enough].tolist(), both[1][enough].tolist(), strict=True))
     return out
 
@@ -129,7 +133,7 @@ def contained(index: Index, texts: list[str]) -> list[tuple[int, int, int]]:
     for t, items in sorted(todo.items()):
         words, sets = _text.split_words(texts[t]), {}
         for i in sorted(items):
-            _, width, shingles = index.items[i]
+            _, width, shingles, _ = index.items[i]
             if width not in sets:
                 sets[width] = {b" ".join(words[j : j + width]) for j in range(len(words) - width + 1)}
             shared = len(shingles & sets[width])
@@ -138,11 +142,22 @@ def contained(index: Index, texts: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[DataFrame]:
-    own = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    size = own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = -(-2 * size // block_chars) if size > block_chars else 1
-    return [own.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else own for i in range(n)]
+def _blocks(benchmark: DataFrame, id_col: str | None, text_col: str, block_chars: int) -> list[DataFrame]:
+    """The distinct items (item_id, text, times) in blocks of at most ``block_chars`` characters and one item."""
+    item_id = F.lit(None) if id_col is None else F.col(f"`{id_col}`")
+    own = benchmark.select(item_id.cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("times"))
+    own = save(own.withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")), "benchmark-items")
+    size = own.agg(F.sum("chars").alias("n")).first()["n"] or 0
+    # Buckets of about a block by hash; inside, a block ends where the running sum passes its size.
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-size // block_chars))))
+    before = F.sum("chars").over(Window.partitionBy("bucket").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars")
+    dealt = save(own.withColumn("bucket", bucket).withColumn("block", F.floor(before / block_chars)), "benchmark-blocks")
+    names = dealt.select("bucket", "block").distinct().orderBy("bucket", "block").collect()
+    return [dealt.filter((F.col("bucket") == r["bucket"]) & (F.col("block") == r["block"])).select("item_id", "text", "times") for r in names]
+
+
+def _collected(block: DataFrame, k: int, threshold: float) -> Index:
+    return build_index([(r["item_id"], r["text"], r["times"]) for r in block.collect()], k, threshold)
 
 
 def find_contained(
@@ -167,9 +182,7 @@ def find_contained(
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     results = []
     for block in _blocks(benchmark, id_col=item_id_col, text_col=item_text_col, block_chars=block_chars):
-        # At most block_chars characters, checked above.
-        index = build_index([(r["item_id"], r["text"]) for r in block.collect()], k, threshold)
-        sent = spark.sparkContext.broadcast(index)
+        sent = spark.sparkContext.broadcast(_collected(block, k, threshold))
 
         def run(batches, sent=sent):
             index = sent.value
@@ -178,31 +191,33 @@ def find_contained(
                 rows = []
                 for first, part in _text.chunks(texts):
                     for t, i, shared in contained(index, part):
-                        item_id, _, shingles = index.items[i]
-                        rows.append((ids[first + t], item_id, shared, len(shingles), shared / len(shingles)))
+                        item_id, _, shingles, times = index.items[i]
+                        rows += [(ids[first + t], item_id, shared, len(shingles), shared / len(shingles))] * times
                 if rows:
                     kinds = [pa.int64()] * 4 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "shared", "item_size", "containment"])
 
         results.append(own.mapInArrow(run, schema))
-    return reduce(DataFrame.union, results)
+    return reduce(DataFrame.union, results) if results else spark.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns are those of ``docs``.  The decision is the row's own, so ids don't matter."""
-    spark, out = docs.sparkSession, docs
-    at = docs.columns.index(text_col)
-    for block in _blocks(benchmark.withColumn("__none", F.lit(None).cast("long")), "__none", item_text_col, block_chars):
-        sent = spark.sparkContext.broadcast(build_index([(None, r["text"]) for r in block.collect()], k, threshold))
+    """The rows of ``docs`` that hold no item; columns are those of ``docs``.
 
-        def run(batches, sent=sent):
-            index = sent.value
-            for batch in _text.pieces(batches):
-                bad = np.zeros(batch.num_rows, bool)
-                for first, part in _text.chunks(batch.column(at).cast(pa.string()).to_pylist()):
-                    for t, _, _ in contained(index, part):
-                        bad[first + t] = True
-                yield batch.filter(pa.array(~bad))
-
-        out = out.mapInArrow(run, docs.schema)
+    The decision is the row's own, so ids don't matter, and rows that repeat stay or
+    go together.  Null and empty texts stay; very long texts are compared whole; an
+    empty benchmark drops nothing and an empty table stays empty.
+    """
+    out = docs
+    for block in _blocks(benchmark, None, item_text_col, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(_collected(block, k, threshold))
+
+        def clean(texts, sent=sent):
+            keep = np.ones(len(texts), bool)
+            for first, part in _text.chunks(texts.cast(pa.string()).to_pylist()):
+                for t, _, _ in contained(sent.value, part):
+                    keep[first + t] = False
+            return keep
+
+        out = filter_batches(out, text_col, lambda clean=clean: clean)
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohesion.llm import _text
-from kohesion.llm._store import save
+from kohesion.llm._store import filter_batches, save
 
 #: Documents that the scorer is fitted on, at most about this many.
 SAMPLE = 4000
@@ -285,16 +285,14 @@ def _score_batch(texts: list[str | None], model: QualityModel) -> tuple[np.ndarr
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``; columns are those of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in _text.pieces(batches):
-            _, marks = _score_batch(batch.column(at).cast(pa.string()).to_pylist(), sent.value)
-            yield batch.filter(pa.array(marks >= threshold))
+    """The rows of ``docs`` whose score is at least ``threshold``; columns are those of ``docs``.
 
-    return docs.mapInArrow(run, docs.schema)
+    The decision is the text's alone: null is empty, ids don't matter, rows that
+    repeat stay or go together, texts of any length are scored whole, and an empty
+    table stays empty.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_batches(docs, text_col, lambda: lambda texts: _score_batch(texts.cast(pa.string()).to_pylist(), sent.value)[1] >= threshold)
 
 
 def weak_labels(docs: DataFrame, model: QualityModel, **columns) -> DataFrame:

@@ -19,13 +19,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohesion.llm._store import new_path, parallelism, save
 
 CHUNK = 64 * 1024
-#: Bytes of chunks that a writer's Arrow batch may hold.
 _DATE = "2000-01-01T00:00:00Z"
 _URN = "urn:record:"
 _MAX_HEADER = 1 << 20
@@ -38,9 +37,14 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 # ---------------------------------------------------------------- records
 
 
+def _bytes(payload_col: str) -> Column:
+    """A text's own UTF-8 bytes, which are hashed and cut where they lie; null is empty."""
+    return F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
+
+
 def record_types(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
     """(digest, refers_to) of the payloads of at least ``least`` bytes that several rows share; the largest id is the response."""
-    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), _bytes(payload_col).alias("payload"))
     keyed = own.filter((F.octet_length("payload") >= least) & F.col("id").isNotNull()).select("id", F.sha1("payload").alias("digest"))
     return keyed.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("digest", "response")
 
@@ -48,8 +52,7 @@ def record_types(pages: DataFrame, id_col: str, payload_col: str, least: int) ->
 def chunk_table(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, chunk: int) -> DataFrame:
     """One row per chunk, in record order inside each partition; a revisit has one chunk without bytes."""
     shared = save(record_types(pages, id_col, payload_col, least), "warc-shared")
-    payload = F.encode(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), "UTF-8")
-    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    own = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), _bytes(payload_col).alias("payload"))
     own = own.select("*", F.sha1("payload").alias("own_digest"), F.octet_length("payload").cast("long").alias("bytes"))
     joined = own.join(shared, own["own_digest"] == shared["digest"], "left")
     revisit = F.col("response").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("response"))
