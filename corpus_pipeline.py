@@ -21,7 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: texts of similarity 0.8 on shingles of five words."""
-    return simhash.near_dedup(docs, words=5, radius=6, blocks=9, bands=5, similarity=0.8, reach=12)
+    return simhash.near_dedup(docs, words=5, similarity=0.8, keys=6, reach=18)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents to the sources' target weights, and shuffles them."""
-    mixed = mixing.mix_sources(docs, alpha=MIX_ALPHA, seed=MIX_SEED)
-    return mixed.select(*[f"`{c}`" for c in docs.columns])
+    """Repeats documents to the sources' target weights, and shuffles them; a null source is a source."""
+    return mixing.mix_sources(docs, alpha=MIX_ALPHA, seed=MIX_SEED).select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns their index."""
+    """Writes the token files, which go by id again, and returns their index."""
     return tokens.token_round_trip(docs, vocabulary(), END_ID)
 
 
