@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which the
 runner writes and reads again as the next stage's documents.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever other columns there are.
+
+Null and empty texts fail the quality stage.  Rows with a null id pass the first
+three stages by their text alone, are mixed under the id "null" and come first in
+the token files.  Rows that repeat fail or pass the quality and contamination
+stages together; of those that repeat an id and its text one passes the near-duplicate
+stage.  An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
