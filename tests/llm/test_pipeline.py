@@ -71,3 +71,24 @@ def check_tokens(spark, before, after, sf):
     for (at, i, n), (j, t) in zip(got, rows, strict=True):
         assert (at, i, n) == (start, j, len(own.encode_many([t or ""])[0]) // 4 + 1)
         start += n
+
+
+def test_stages_take_odd_rows_and_names(spark, docs, clashing, sf):
+    good = [f"The house by the river number {i} is old, and the people who live in it were there before the war; they said it will stay. " * 4 for i in range(40)]
+    rows = [*enumerate(good), (50, None), (51, ""), (None, good[0]), (None, None), (52, good[1]), (52, good[1]), (53, "word " * 100_000), (54, good[2], None), (55, good[3] + "more", "src1")]
+    table = docs(rows, clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = save(stage(spark, table, sf), f"test-{name}")
+        assert after.columns == table.columns and set(texts(after)) <= set(texts(table)), name
+        table = after
+    assert not any(t is None or not t.strip() for _, t in texts(table))
+    got = corpus_pipeline.STAGES[-1][1](spark, table, sf).collect()
+    assert len(got) == table.count()
+
+
+def test_stages_take_an_empty_table(spark, docs, clashing, sf):
+    table = docs([], clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = save(stage(spark, table, sf), f"test-{name}")
+        assert table.count() == 0 and table.columns == docs([], clashing).columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, table, sf).count() == 0
