@@ -264,6 +264,8 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5,
     ``weak_label`` is the label model's posterior, ``score`` the scorer's, both
     of being good; ``good`` says whether the score is at least ``threshold``.
     Null texts count as empty; a text without words is never good and scores 0.
+    Null ids stay null, rows that repeat are scored each and alike, texts of any
+    length are read whole, and an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
