@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kohesion.functions.ranking import numbered
 from kohesion.functions.reports import config_label
 from kohesion.plans.planner import resolve_measure
 
@@ -65,8 +66,7 @@ def axis_limits(scores: DataFrame, column: str) -> DataFrame:
 
 def relabel_from_one(scores: DataFrame, by: str = "label") -> DataFrame:
     """Rows with ``display``, the labels numbered from 1 in numeric order."""
-    names = scores.select(by).distinct().withColumn("display", F.row_number().over(Window.orderBy(by)))
-    return scores.join(F.broadcast(names), by)
+    return scores.join(numbered(scores.select(by).distinct(), [by], "display"), by)
 
 
 def scatter_encoding(points: DataFrame, column: str, size: tuple[float, float] = (10.0, 80.0), alpha: tuple[float, float] = (0.25, 1.0)) -> DataFrame:
@@ -76,7 +76,7 @@ def scatter_encoding(points: DataFrame, column: str, size: tuple[float, float] =
     norm = F.when(F.col(column).isNull(), F.lit(0.0)).when(width > 0, (F.col(column) - F.col("__lo")) / F.nullif(width, F.lit(0.0))).otherwise(F.lit(0.5))
     scaled = points.crossJoin(F.broadcast(bounds)).withColumn("norm", norm)
     at = lambda r: F.lit(float(r[0])) + F.col("norm") * float(r[1] - r[0])
-    return scaled.withColumn("size", at(size)).withColumn("alpha", at(alpha)).withColumn("draw_order", F.row_number().over(Window.orderBy("alpha", "sample_id"))).drop("__lo", "__hi")
+    return numbered(scaled.withColumn("size", at(size)).withColumn("alpha", at(alpha)).drop("__lo", "__hi"), ["alpha", "sample_id"], "draw_order")
 
 
 def category_order(df: DataFrame, column: str, by: str = "label") -> DataFrame:

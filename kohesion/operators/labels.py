@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohesion.functions.consensus import consensus_matrix, dense_matrix
+from kohesion.functions.ranking import numbered
 from kohesion.operators.kernels import align_labels, cut_merges, leaf_order, linkage_merges
 
 #: Samples up to which a consensus matrix, which has a number for each pair, is held at once; linkages need it whole.
@@ -46,8 +47,6 @@ def attach_labels(df: DataFrame, labels: DataFrame, id_col: str, name: str = "cl
 
 def factorize(df: DataFrame, value: str, position: str, by_value: bool = False) -> DataFrame:
     """``df`` with ``code``: values numbered from 0 by first appearance, or in sorted order."""
-    from pyspark.sql import Window
-
-    order = [F.col("v")] if by_value else [F.col("p"), F.col("v")]
-    codes = df.groupBy(F.col(value).alias("v")).agg(F.min(position).alias("p")).withColumn("code", F.row_number().over(Window.orderBy(*order)) - 1)
-    return df.join(F.broadcast(codes.select(F.col("v").alias(value), "code")), value)
+    order = ["v"] if by_value else ["p", "v"]
+    codes = numbered(df.groupBy(F.col(value).alias("v")).agg(F.min(position).alias("p")), order, "code", first=0)
+    return df.join(codes.select(F.col("v").alias(value), "code"), value)
