@@ -231,7 +231,7 @@ def similarity_points(docs: DataFrame, words: int, keys: int, id_col: str = "doc
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, digest, shingles) of the ``wanted(rep, digest)``: the sorted distinct shingle hashes as bytes."""
+    """(rep, digest, shingles) of the texts of the ids ``wanted(rep)``: the sorted distinct shingle hashes as bytes."""
 
     def run(batches):
         for batch in _text.pieces(batches):
@@ -239,7 +239,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
             digest = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "digest", "shingles"])
 
-    texts = _own(docs, id_col, text_col).withColumnRenamed("id", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi")
+    texts = _own(docs, id_col, text_col).withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, digest long, shingles binary")
 
 
@@ -346,7 +346,9 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     parts = parallelism(docs.sparkSession)
     near = shared.repartition(parts, "key").sortWithinPartitions("key").select("key", "rep", "digest", "fp").mapInArrow(lambda batches: shard_classes(batches, reach), "shard long, rep long, digest long, fp long")
     shards = save(near.distinct(), "similar-shards")
-    sets = _set_table(docs, shards.select("rep", "digest"), words, id_col, text_col)
+    # Written, so that its size is known before the texts are joined: they are shuffled only if it is too large to broadcast.
+    wanted = save(shards.select("rep").distinct(), "similar-wanted")
+    sets = _set_table(docs, wanted, words, id_col, text_col)
     if not known.groupBy("id", "digest").count().filter("count > 1").isEmpty():
         # Rows that repeat an id with the same shingles are one.
         sets = sets.groupBy("rep", "digest").agg(F.min("shingles").alias("shingles"))
