@@ -99,6 +99,22 @@ def test_block_plan_equals_pairs(spark):
         assert pac.first()["pac"] == pytest.approx(consensus.pac_score(consensus.consensus_pairs(own)).first()["pac"])
 
 
+def test_samples_with_equal_draws_are_one_class(spark):
+    """Three sorts of samples: what is compared doesn't grow with them, and all pairs come out."""
+    n = 300
+    ids = list(range(n))
+    own = runs(spark, (ids, [i % 3 for i in ids]), (ids, [min(i % 3, 1) for i in ids]))
+    members, classes = consensus._classes(own)
+    assert members.count() == n and sorted(r["size"] for r in classes.collect()) == [100, 100, 100]
+    got = {(r["i"], r["j"]): r["p"] for r in consensus.consensus_pairs(own, block=2).collect()}
+    want = {(i, j): ((i % 3 == j % 3) + (min(i % 3, 1) == min(j % 3, 1))) / 2 for i in ids for j in range(i + 1, n)}
+    assert got == want
+    samples, pac = consensus.consensus_scores_blocked(own, 2)
+    assert pac.first()["pac"] == pytest.approx(1 - sum(p == 0.5 for p in want.values()) / len(want))
+    gini = {r["sample_id"]: r["gini"] for r in samples.collect()}
+    assert gini == {i: pytest.approx(1 if i % 3 == 0 else 1 - 100 / (n - 1)) for i in ids}
+
+
 def predicted(spark, *resamples):
     rows = [(0, b, s, t, p) for b, (ids, true, pred) in enumerate(resamples) for s, t, p in zip(ids, true, pred, strict=True)]
     return spark.createDataFrame(rows, "config_id int, resample int, sample_id bigint, label_true int, label_pred int")
