@@ -205,3 +205,18 @@ def test_runtimes(spark, tmp_path):
 
     got = runtime_table(reports.load_runtimes(spark, f"{tmp_path}/runtimes.csv", TIMES), "axis_value", [1000], {"s": TIMES[0], "g": TIMES[1]}).collect()
     assert {r["stage"]: r["1000_mean"] for r in got} == {"s": 3.0, "g": 16.0}
+
+
+def test_tiles_equal_brute_force():
+    """Products find the candidates, differences decide: ties go to the smaller place, copies are at exactly zero."""
+    rng = np.random.default_rng(0)
+    for n, m, p in ((700, 5000, 3), (60, 4500, 64), (10, 5, 4)):
+        b = rng.integers(0, 9, (m, p)).astype(float) if p == 3 else rng.normal(size=(m, p)) + 100
+        a = np.concatenate([b[: min(n, m) // 2], rng.normal(size=(n, p))])[:n]
+        own = np.where(np.arange(n) < min(n, m) // 2, np.arange(n), -1)
+        d = indices.exact_distances(a, b)
+        order = np.argsort(np.where(own[:, None] == np.arange(m), -1.0, d), axis=1, kind="stable")[:, :7]
+        place, d2 = indices.nearest_rows(a, b, 7, own)
+        assert (place == order).all() and (d2 == np.take_along_axis(d, order, 1)).all()
+        one_hot = np.eye(3)[rng.integers(0, 3, m)]
+        assert np.allclose(indices.distance_sums(a, b, one_hot), np.sqrt(d) @ one_hot, rtol=1e-9, atol=1e-7)
