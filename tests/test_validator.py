@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from kohesion.functions import indices
+from kohesion.functions import indices, sampling
 from kohesion.functions.features import features_from_matrix
 from kohesion.operators import clustering, simulate
 from kohesion.operators.labels import attach_labels, factorize
@@ -220,3 +220,12 @@ def test_tiles_equal_brute_force():
         assert (place == order).all() and (d2 == np.take_along_axis(d, order, 1)).all()
         one_hot = np.eye(3)[rng.integers(0, 3, m)]
         assert np.allclose(indices.distance_sums(a, b, one_hot), np.sqrt(d) @ one_hot, rtol=1e-9, atol=1e-7)
+
+
+def test_subsamples_are_tasks_of_their_own(spark):
+    """Five resamples with two subsamples are ten tasks' work; hashes put several into one."""
+    rng = np.random.default_rng(0)
+    x = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(60)], "sample_id long, x array<double>")
+    found = clustering.cluster_runs(x, sampling.membership(x, 5), [Config(0, "kmeans", 2)], plan_branches("stability"))
+    tasks = found.filter("split <> 'test'").groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("resample", "split").alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 10 and len(tasks) >= 9
