@@ -104,7 +104,7 @@ def test_samples_with_equal_draws_are_one_class(spark):
     n = 300
     ids = list(range(n))
     own = runs(spark, (ids, [i % 3 for i in ids]), (ids, [min(i % 3, 1) for i in ids]))
-    members, classes = consensus._classes(own)
+    members, classes = consensus.consensus_classes(own)
     assert members.count() == n and sorted(r["size"] for r in classes.collect()) == [100, 100, 100]
     got = {(r["i"], r["j"]): r["p"] for r in consensus.consensus_pairs(own, block=2).collect()}
     want = {(i, j): ((i % 3 == j % 3) + (min(i % 3, 1) == min(j % 3, 1))) / 2 for i in ids for j in range(i + 1, n)}
@@ -115,6 +115,19 @@ def test_samples_with_equal_draws_are_one_class(spark):
     assert gini == {i: pytest.approx(1 if i % 3 == 0 else 1 - 100 / (n - 1)) for i in ids}
 
 
+def test_consensus_labels_of_classes(spark):
+    """Many samples of few draws: labels come from the classes; undrawn samples get one too."""
+    from kohesion.operators import labels
+
+    n = 21_000
+    ids = spark.range(n + 5).withColumnRenamed("id", "sample_id")
+    draws = F.explode(F.array(*[F.lit(b) for b in range(3)]))
+    own = ids.filter(F.col("sample_id") < n).select(F.lit(0).alias("config_id"), draws.alias("resample"), "sample_id", (F.col("sample_id") % 3).cast("int").alias("label"))
+    got = {r["sample_id"]: r["label"] for r in labels.consensus_label_table(own, ids, 4).collect()}
+    assert len(got) == n + 5 and len(set(got.values())) == 4
+    assert all(got[i] == got[i % 3] for i in range(n))
+
+
 def predicted(spark, *resamples):
     rows = [(0, b, s, t, p) for b, (ids, true, pred) in enumerate(resamples) for s, t, p in zip(ids, true, pred, strict=True)]
     return spark.createDataFrame(rows, "config_id int, resample int, sample_id bigint, label_true int, label_pred int")
