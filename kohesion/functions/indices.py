@@ -230,12 +230,13 @@ def silhouette(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
 def gap_statistic(features: DataFrame, cluster: Callable[[DataFrame, int], DataFrame], k: int, n_null: int = 10, seed: int = 0) -> float | None:
     """mean ln W of ``n_null`` uniform tables minus ln W of the data; null where a W isn't positive.
 
-    ``cluster(features, seed)`` returns (sample_id, label).
+    ``cluster(features, seed)`` returns (sample_id, label), and x if it has it at hand, which saves drawing a table again to join it.
     """
     from kohesion.functions.sampling import null_box
 
     def log_w(x: DataFrame, s: int) -> float | None:
-        w = dispersion(x.join(cluster(x, s), "sample_id")).first()["dispersion"]
+        found = cluster(x, s)
+        w = dispersion(found if "x" in found.columns else x.join(found, "sample_id")).first()["dispersion"]
         return float(np.log(w)) if w and w > 0 else None
 
     own = log_w(features, seed)

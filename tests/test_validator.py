@@ -229,3 +229,9 @@ def test_subsamples_are_tasks_of_their_own(spark):
     found = clustering.cluster_runs(x, sampling.membership(x, 5), [Config(0, "kmeans", 2)], plan_branches("stability"))
     tasks = found.filter("split <> 'test'").groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("resample", "split").alias("n")).collect()
     assert sum(r["n"] for r in tasks) == 10 and len(tasks) >= 9
+
+
+def test_gap_takes_tables_that_carry_x(spark):
+    x = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "sample_id long, x array<double>")
+    cut = lambda t, s: t.withColumn("label", (F.col("x")[0] > 3).cast("int"))
+    assert indices.gap_statistic(x, cut, 2, 1) == pytest.approx(indices.gap_statistic(x, lambda t, s: cut(t, s).drop("x"), 2, 1))
