@@ -149,3 +149,20 @@ def test_edge_rows(spark, docs, clashing):
     got = toxicity.score_toxicity(table, toxicity.fit_toxicity(table, labels)).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score_toxicity(docs([]), toxicity.fit_toxicity(docs([]), labels.limit(0))).count() == 0
+
+
+def test_machines_are_fitted_on_an_executor(spark, sf, monkeypatch):
+    """The driver gets their weights, not the words; they are the machines of the texts themselves."""
+
+    def refuse(*args):
+        raise AssertionError("the driver has the vocabulary")
+
+    texts, toxic = sentences(200)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    used = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.train([texts[i] for i in used], toxic[used], float(toxic[used].mean()))
+    # Tasks import the module anew, so only the driver's is changed.
+    monkeypatch.setattr(toxicity, "_machine", refuse)
+    got = toxicity.fit_toxicity(docs, labels)
+    assert np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias) and np.allclose(got.curve, want.curve)
