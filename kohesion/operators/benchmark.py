@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kohesion.functions.agreement import adjusted_rand
 from kohesion.functions.selection import metric_optimum
 from kohesion.operators.clustering import _clusterer
-from kohesion.operators.kernels import align_labels, validity
+from kohesion.operators.kernels import align_labels, row_leaf_order, validity
 from kohesion.operators.simulate import simulate_axis, simulate_difficulty
 from kohesion.operators.validator import Validator
 from kohesion.plans.planner import Config, GridSpec, parse_metric_name, plan_configs, resolve_measure
@@ -52,6 +52,15 @@ def full_labels(x: DataFrame, configs: Sequence[Config], seed: int = 0) -> DataF
     return _on_tasks(x, configs, work, "config_id int, sample_id long, label int")
 
 
+def leaf_order(x: DataFrame, linkage: str = "average") -> DataFrame:
+    """(position, sample_id): the rows in the dendrogram order of a linkage."""
+
+    def work(c: Config, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids[row_leaf_order(values, linkage)])], ["position", "sample_id"])
+
+    return _on_tasks(x, [Config(0, "agglomerative", 1, {"linkage": linkage})], work, "position int, sample_id long")
+
+
 def _log_dispersion(values: np.ndarray, labels: np.ndarray) -> float | None:
     w = _dispersion(values, labels)
     return float(np.log(w)) if w > 0 else None
