@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Mapping, Sequence
 
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohesion.functions.agreement import adjusted_rand
+from kohesion.functions.indices import distance_sums
 from kohesion.functions.selection import metric_optimum
 from kohesion.operators.clustering import _clusterer
-from kohesion.operators.kernels import align_labels, row_leaf_order, validity
+from kohesion.operators.kernels import align_labels, row_leaf_order, silhouette_sum, validity
 from kohesion.operators.simulate import simulate_axis, simulate_difficulty
 from kohesion.operators.validator import Validator
 from kohesion.plans.planner import Config, GridSpec, parse_metric_name, plan_configs, resolve_measure
@@ -28,28 +30,55 @@ def _matrix(x: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("sample_id").to_numpy(), np.asarray(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, -1)
 
 
-def _on_tasks(x: DataFrame, configs: Sequence[Config], work, schema: str) -> DataFrame:
-    """``work(config, ids, x)`` for every configuration as one job.  The table has to fit a task, as its clusterers need it whole."""
+def _on_tasks(x: DataFrame, configs: Sequence[Config], work, schema: str, sent=None) -> DataFrame:
+    """``work(config, ids, x)`` for every configuration as one job.  The table has to fit a task, as its clusterers need it whole; ``sent`` is its broadcast, if there is one."""
     spark = x.sparkSession
-    sent, plan = spark.sparkContext.broadcast(_matrix(x)), {c.config_id: c for c in configs}
+    sent, plan = sent or spark.sparkContext.broadcast(_matrix(x)), {c.config_id: c for c in configs}
 
     def run(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 yield work(plan[i], *sent.value)
 
-    tasks = spark.createDataFrame([(c.config_id,) for c in configs], "config_id int").repartition(max(1, len(configs)), "config_id")
+    # By range, as hashes would put several of so few rows into one task.
+    tasks = spark.createDataFrame([(c.config_id,) for c in configs], "config_id int").repartitionByRange(max(1, len(configs)), "config_id")
     return tasks.mapInArrow(run, schema)
 
 
-def full_labels(x: DataFrame, configs: Sequence[Config], seed: int = 0) -> DataFrame:
+def full_labels(x: DataFrame, configs: Sequence[Config], seed: int = 0, sent=None) -> DataFrame:
     """(config_id, sample_id, label) of every configuration on the whole table."""
 
     def work(c: Config, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         found = np.asarray(_clusterer(c.estimator)(values, c.n_clusters, c.params, seed))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c.config_id, np.int32)), pa.array(ids), pa.array(found.astype(np.int32))], ["config_id", "sample_id", "label"])
 
-    return _on_tasks(x, configs, work, "config_id int, sample_id long, label int")
+    return _on_tasks(x, configs, work, "config_id int, sample_id long, label int", sent)
+
+
+def _silhouettes(spark: SparkSession, sent, codes: Mapping[int, np.ndarray], rows: int = 2048) -> dict[int, float | None]:
+    """The mean silhouette of each labelling with codes from 0.  A task has some rows against all; distances are made once for all labellings."""
+    n = len(next(iter(codes.values()), ()))
+    sizes = {c: np.bincount(code) for c, code in codes.items()}
+    fit = [c for c in codes if 2 <= len(sizes[c]) < n]
+    labels = spark.sparkContext.broadcast({c: codes[c] for c in fit})
+    rows = max(1, min(rows, -(-n // (4 * spark.sparkContext.defaultParallelism))))
+
+    def run(batches):
+        x = sent.value[1]
+        one_hot = np.concatenate([np.eye(len(sizes[c]))[labels.value[c]] for c in fit], axis=1)
+        edges = np.cumsum([0] + [len(sizes[c]) for c in fit])
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                total = distance_sums(x[start : start + rows], x, one_hot)
+                sums = [silhouette_sum(total[:, edges[i] : edges[i + 1]], labels.value[c][start : start + rows], sizes[c]) for i, c in enumerate(fit)]
+                yield pa.RecordBatch.from_arrays([pa.array([start] * len(fit), pa.int64()), pa.array(fit, pa.int32()), pa.array(sums)], ["start", "config_id", "sum"])
+
+    out: dict[int, float | None] = dict.fromkeys(codes)
+    if fit:
+        starts = spark.createDataFrame([(i,) for i in range(0, n, rows)], "start long").repartitionByRange(max(1, min(-(-n // rows), 4096)), "start")
+        found = starts.mapInArrow(run, "start long, config_id int, sum double").toArrow().sort_by("start").to_pylist()
+        out |= {c: math.fsum(r["sum"] for r in found if r["config_id"] == c) / n for c in fit}
+    return out
 
 
 def leaf_order(x: DataFrame, linkage: str = "average") -> DataFrame:
@@ -75,12 +104,21 @@ def baseline_curves(x: DataFrame, grids: Sequence[GridSpec], metrics: Sequence[s
     unknown = set(metrics) - set(INDICES)
     if unknown:
         raise ValueError(f"unknown metrics {sorted(unknown)}; options: {', '.join(INDICES)}")
-    configs = plan_configs(grids)
+    configs, spark = plan_configs(grids), x.sparkSession
+    sent = spark.sparkContext.broadcast(_matrix(x))
+    # A number a row and configuration; the table itself is on the driver anyway.
+    found = full_labels(x, configs, seed, sent).toArrow()
+    number, ids, label = (found.column(c).to_numpy() for c in ("config_id", "sample_id", "label"))
+    codes = {}
+    for c in configs:
+        own = np.flatnonzero(number == c.config_id)
+        codes[c.config_id] = np.unique(label[own[np.argsort(ids[own], kind="stable")]], return_inverse=True)[1].astype(np.int32)
+    silhouettes = _silhouettes(spark, sent, codes) if "silhouette" in metrics else {}
+    labels = spark.sparkContext.broadcast(codes)
 
     def work(c: Config, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        cluster = _clusterer(c.estimator)
-        found = np.asarray(cluster(values, c.n_clusters, c.params, seed))
-        scores = validity(values, found)
+        cluster, found = _clusterer(c.estimator), labels.value[c.config_id]
+        scores = validity(values, found, silhouette=False) | {"silhouette": silhouettes.get(c.config_id)}
         if "gap" in metrics:
             rng, own = np.random.default_rng(seed), _log_dispersion(values, found)
             null = []
@@ -95,7 +133,7 @@ def baseline_curves(x: DataFrame, grids: Sequence[GridSpec], metrics: Sequence[s
             ["config_id", "model", "k", "metric_name", "metric_value"],
         )
 
-    return _on_tasks(x, configs, work, "config_id int, model string, k int, metric_name string, metric_value double")
+    return _on_tasks(x, configs, work, "config_id int, model string, k int, metric_name string, metric_value double", sent)
 
 
 def baseline_best(curves: DataFrame) -> DataFrame:

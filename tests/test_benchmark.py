@@ -55,3 +55,20 @@ def test_squarest_seed(spark):
     flat = make_blobs(spark, 60, 1, 2, 1.0, 0)
     long = flat.selectExpr("sample_id", "array(x[0] * 9, x[1]) as x", "label")
     assert benchmark.squarest_seed({1: long.select("sample_id", "x"), 2: flat.select("sample_id", "x")}) == 2
+
+
+def test_silhouettes_are_shared_by_tasks(spark, monkeypatch):
+    """No task compares all rows with all, whatever the number of configurations; the means are those of the definition."""
+    x = np.random.default_rng(3).normal(size=(301, 4))
+    codes = {0: np.arange(301) % 3, 1: np.arange(301) // 300, 2: np.zeros(301, int)}
+    sent = spark.sparkContext.broadcast((np.arange(301), x))
+    got = benchmark._silhouettes(spark, sent, codes, rows=50)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for c in (0, 1):
+        total, size = np.stack([d[:, codes[c] == v].sum(1) for v in np.unique(codes[c])], 1), np.bincount(codes[c])
+        want = []
+        for i, v in enumerate(codes[c]):
+            a, b = total[i, v] / max(size[v] - 1, 1), min(total[i, w] / size[w] for w in range(len(size)) if w != v)
+            want.append((b - a) / max(a, b) if size[v] > 1 else 0.0)
+        assert np.isclose(got[c], np.mean(want))
+    assert got[2] is None
